@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import bpe, minhash, packing, urls
+from . import bpe, minhash, packing, suffixes, urls
 
-MODULES = [minhash, bpe, packing, urls]
+MODULES = [minhash, bpe, suffixes, packing, urls]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
