@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import bpe, language, minhash, packing, pii, suffixes, urls
+from . import ann, bpe, language, licenses, media, minhash, packing, pii, suffixes, urls
 
-MODULES = [pii, language, minhash, bpe, suffixes, packing, urls]
+MODULES = [ann, pii, licenses, language, minhash, media, bpe, suffixes, packing, urls]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
