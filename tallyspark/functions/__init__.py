@@ -1 +1 @@
-
+"""Column functions: money, text, names and references."""
