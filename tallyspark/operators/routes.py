@@ -76,7 +76,7 @@ def narrated_references(banks: DataFrame, items: DataFrame) -> DataFrame:
     """
     tokens = F.regexp_extract_all(F.lower("narration"), F.lit(r"([^\s]+)"), 1)
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice(tokens, i, n), ""))))
-    trimmed = F.array_distinct(F.transform(spans, lambda s: F.regexp_replace(s, r"^[^(?U)\w/.-]+|[^(?U)\w/.-]+$", "")))
+    trimmed = F.array_distinct(F.transform(spans, lambda s: F.regexp_replace(s, r"(?U)^[^\w/-]+|[^\w/-]+$", "")))
     said = banks.filter(F.col("narration") != "").select("bank_id", F.explode(trimmed).alias("ref"))
     return said.join(items.select("item_id", F.explode("refs").alias("ref")), "ref").distinct()
 
