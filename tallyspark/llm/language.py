@@ -28,6 +28,7 @@ from .shared import table
 
 TRAIN_DOCUMENTS = 4000
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 15, 16, 4, 0.6
+LEAST_STEPS = 12_000  # small samples are gone through more often
 REJECT, MOST_REJECTING = 0.002, 0.5
 SIZES = (2, 3, 4)
 PAD = b" " * 4
@@ -121,8 +122,9 @@ def train(texts: list[bytes], labels: list[str], seed: int = 5) -> Model:
     fit, back = (order[len(order) // 5 :], order[: len(order) // 5]) if len(order) >= 50 else (order, order)
     embed = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, at = EPOCHS * len(fit), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(fit)))
+    steps, at = epochs * len(fit), 0
+    for _ in range(epochs):
         for i in rng.permutation(fit):
             own, share = bags[i]
             rate = RATE * (1 - at / steps)
