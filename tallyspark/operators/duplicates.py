@@ -10,7 +10,7 @@ from .joins import missing_and_unknown
 
 
 def duplicate_groups(files: DataFrame, key: str, content: str) -> DataFrame:
-    """Rows (grp, copy, key, sha256) of contents that occur twice or more; groups are numbered by hash, copies by key.
+    """Rows (sha256, key, copies, copy) of contents that occur twice or more; copies are numbered by key.
 
     Contents whose length is unique are never hashed.
     """
@@ -18,7 +18,6 @@ def duplicate_groups(files: DataFrame, key: str, content: str) -> DataFrame:
     often = sized.groupBy("bytes").agg(F.count("*").alias("n")).filter("n > 1").select("bytes")
     hashed = sized.join(often, "bytes").select(key, F.upper(F.sha2(F.col(content).cast("binary"), 256)).alias("sha256"))
     groups = hashed.groupBy("sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
-    # Groups are numbered in one partition of one row a hundred or so bytes only if they are few; else by their hash.
     copies = hashed.join(groups, "sha256")
     return copies.withColumn("copy", F.row_number().over(Window.partitionBy("sha256").orderBy(key)))
 

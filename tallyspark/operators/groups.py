@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 MOST_MEMBERS = 12
 BATCH_LINES = 20
+SHARD_UNITS = 5000
 
 
 def exact_subsets(members: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
@@ -62,13 +63,15 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "bank_id", rounds
 def packed_batches(lines: DataFrame, size: int = BATCH_LINES, chars: int = 180_000) -> DataFrame:
     """Adds `batch` to (component, bank_id, chars): competing lines stay together up to both limits.
 
-    Lines of a component are cut into consecutive chunks by running sums. Components are packed by a greedy over one
-    row a chunk within `shard`, a hash of the component, so no task sees all lines.
+    Lines of a component are cut into consecutive chunks by running sums. Chunks are packed greedily within shards of
+    about SHARD_UNITS of them, dealt by a hash of the component, so no task sees all.
     """
     w = Window.partitionBy("component").orderBy("bank_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_count = F.floor((F.row_number().over(Window.partitionBy("component").orderBy("bank_id")) - 1) / size)
     chunked = lines.withColumn("chunk", F.greatest(by_count, F.floor((F.sum("chars").over(w) - F.col("chars")) / chars)).cast("int"))
-    units = chunked.groupBy("component", "chunk").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(64)))
+    units = chunked.groupBy("component", "chunk").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    shards = max(1, -(-units.count() // SHARD_UNITS))
+    units = units.withColumn("shard", F.pmod(F.xxhash64("component", "chunk"), F.lit(shards)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "component", "chunk"], ascending=[False, True, True])

@@ -40,7 +40,7 @@ def upsert_best(target: str, attempt: str, reported: Column, finished: Column, o
         spark = batch.sparkSession
         shard = F.pmod(F.xxhash64(attempt), F.lit(shards)).cast("int")
         fresh = batch.withColumn("shard", shard)
-        before = best_table(spark, target, batch.schema.simpleString(), before=number)
+        before = best_table(spark, target, before=number)
         touched = fresh.select("shard").distinct()
         old = before.join(touched, "shard", "left_semi") if before is not None else fresh.limit(0)
         both = fresh.unionByName(old.select(*fresh.columns))
@@ -50,7 +50,7 @@ def upsert_best(target: str, attempt: str, reported: Column, finished: Column, o
     return step
 
 
-def best_table(spark: SparkSession, target: str, schema: str | None = None, before: int | None = None) -> DataFrame | None:
+def best_table(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """The newest rows of every shard, of batches before the given one."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(target)
