@@ -9,7 +9,7 @@ Links are sought in three passes, each followed by components by alternating lar
 looking only at pairs whose ends are still in different components:
 1. every document against the least document of one of its buckets,
 2. every document against the least document of each of its buckets,
-3. the pairs that share a bucket across components, which are few once real groups have joined.
+3. the pairs that share a bucket across components, compared in blocks of bounded size inside the tasks.
 So a large group of near copies costs links in proportion to its size. Pairs whose minima agree too seldom (less
 than 0.6, over five standard deviations below 0.8) are dropped; all others are confirmed on their full sets.
 
@@ -34,6 +34,7 @@ from .shared import drop, materialize, table
 BANDS, ROWS = 32, 4
 LEAST_ESTIMATE = 0.6
 FILTER_BITS = 1 << 23
+BLOCK = 2048  # members of a bucket that are compared at a time
 
 _seed = np.random.default_rng(20240501)
 _BYTE = _seed.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -44,7 +45,7 @@ _A = _seed.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None] | np.uin
 _B = _seed.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-CHUNK = 1 << 21
+CHUNK = 1 << 18  # bytes of text that a task works on at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -225,6 +226,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def joined_by(docs: DataFrame, pairs: DataFrame, stars: DataFrame, sets: DataFrame | None, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """The components that the stars and those of the pairs that are links make together."""
+    if not pairs.limit(1).count():
+        return stars
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    if sets is not None:
+        wanted = materialize(wanted.join(sets.select("id"), "id", "left_anti"), "wanted")
+    new = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "members")
+    after = star_components(stars.unionByName(confirmed(pairs, new if sets is None else sets.unionByName(new), percent)))
+    for old in (stars, new, wanted):
+        drop(old)
+    return after
+
+
+def across_components(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs (u, v) that share a bucket (key) but no component (root), and whose sizes and minima allow a link.
+
+    Members of a bucket are compared in blocks of bounded size inside the tasks; only what may be a link comes out.
+    """
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(sketch, "id").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "id", "root", "n", "least")
+
+    def compare(i: int, j: int, b: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(b)),) * 2
+        may = (root[one][:, None] != root[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= 80 * np.maximum(n[one][:, None], n[two][None, :]))
+        if i == j:
+            may &= ids[one][:, None] > ids[two][None, :]
+        x, y = np.nonzero(may)
+        out = []
+        for k in range(0, len(x), 1 << 15):
+            u, v = one[x[k : k + (1 << 15)]], two[y[k : k + (1 << 15)]]
+            near = ((low[u] == low[v]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
+            out.append(np.stack([np.maximum(ids[u], ids[v])[near], np.minimum(ids[u], ids[v])[near]]))
+        return tuple(np.concatenate(out, axis=1)) if out else (ids[:0], ids[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(table_: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not table_.num_rows:
+                return
+            key, i, j, b, ids, root, n = (table_.column(k).to_numpy() for k in range(7))
+            low = np.frombuffer(b"".join(table_.column(7).to_pylist()), np.uint8).reshape(len(key), -1)
+            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            found = [compare(int(i[a]), int(j[a]), *(x[a:z] for x in (b, ids, root, n, low))) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True)]
+            u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:  # sorted; the last group of a batch may go on in the next
+            if not batch.num_rows:
+                continue
+            group = [batch.column(k).to_numpy() for k in range(3)]
+            last = int(np.flatnonzero(np.logical_or.reduce([g != g[-1] for g in group]))[-1]) + 1 if any((g != g[-1]).any() for g in group) else 0
+            if last or held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
+                yield from flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept); one document of each component is kept, the one of least id.
 
@@ -238,36 +306,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(keys.join(heads, "key").select("key", "head", "id"), "buckets")
     sketch = nodes.select("id", "n", "least")
 
-    tries = shared.filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    tries = materialize(estimated(tries, sketch), "tries")
-    wanted = tries.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    tries = materialize(shared.filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "tries")
+    first = materialize(estimated(tries.groupBy("u").agg(F.min("v").alias("v")), sketch), "tries")
+    wanted = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "members")
-
-    first = tries.groupBy("u").agg(F.min("v").alias("v"))
     stars = star_components(confirmed(first, sets, percent))
-    root = lambda side, stars: stars.select(F.col("u").alias(side), F.col("v").alias(f"root_{side}"))
-
-    def across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-        named = pairs.join(root("u", stars), "u", "left").join(root("v", stars), "v", "left")
-        return named.filter("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v")
-
-    more = confirmed(across(tries.join(first, ["u", "v"], "left_anti"), stars), sets, percent)
-    after = star_components(stars.unionByName(more))
-    drop(stars)
-    stars = after
-
-    # What shares a bucket but no component: rest pairs, compared across components only.
-    labelled = shared.select("key", "id").join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    labelled = labelled.join(mixed, "key", "left_semi").join(nodes.select("id", "n"), "id")
-    a, b = (labelled.select("key", F.col("id").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}")) for s in ("u", "v"))
-    rest = a.join(b, "key").filter("root_u != root_v and u > v and 100 * least(n_u, n_v) >= 80 * greatest(n_u, n_v)").select("u", "v").distinct().join(tries, ["u", "v"], "left_anti")
-    rest = materialize(estimated(rest, sketch), "rest")
-    missing = rest.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-    missing = materialize(missing, "missing")
-    more_sets = sets.unionByName(full_sets(docs, missing, id_col, text_col, shingle)) if missing.limit(1).count() else sets
-    after = star_components(stars.unionByName(confirmed(rest, more_sets, percent)))
-    for old in (stars, rest, missing, sets, tries, shared):
+    root = lambda side: stars.select(F.col("u").alias(side), F.col("v").alias(f"root_{side}"))
+
+    named = tries.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    more = materialize(estimated(named.filter("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v"), sketch), "tries")
+    stars = joined_by(docs, more, stars, sets, id_col, text_col, shingle, percent)
+    drop(sets)
+
+    labelled = shared.select("key", "id").join(root("id"), "id", "left").withColumn("root", F.coalesce("root_id", "id"))
+    rest = across_components(labelled.select("key", "id", "root"), sketch)
+    rest = materialize(rest.distinct().join(tries, ["u", "v"], "left_anti"), "rest")
+    after = joined_by(docs, rest, stars, None, id_col, text_col, shingle, percent)
+    for old in (first, more, rest, tries, shared):
         drop(old)
 
     labels = nodes.select("digest", "id").join(after.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
