@@ -8,7 +8,7 @@ groups of copies cost nothing further.
 Links are sought in three passes, each followed by components by alternating large-star and small-star, and each
 looking only at pairs whose ends are still in different components:
 1. every document against the least document of one of its buckets,
-2. every document against the least document of each of its buckets,
+2. every document against the least documents of its first eight buckets,
 3. the pairs that share a bucket across components, compared in blocks of bounded size inside the tasks.
 So a large group of near copies costs links in proportion to its size. Pairs whose minima agree too seldom (less
 than 0.6, over five standard deviations below 0.8) are dropped; all others are confirmed on their full sets.
@@ -34,6 +34,7 @@ from .shared import drop, materialize, table
 BANDS, ROWS = 32, 4
 LEAST_ESTIMATE = 0.6
 FILTER_BITS = 1 << 23
+TRIED_BANDS = 8  # whose heads a document is held against before the exact pass
 BLOCK = 2048  # members of a bucket that are compared at a time
 
 _seed = np.random.default_rng(20240501)
@@ -247,10 +248,10 @@ def across_components(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
     """
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(sketch, "id").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "id", "root", "n", "least")
+    rows = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(sketch.select("id", "n", "least", "bands"), "id").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "id", "root", "n", "least", "bands")
 
-    def compare(i: int, j: int, b: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(key: int, i: int, j: int, b: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one, two = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(b)),) * 2
         may = (root[one][:, None] != root[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= 80 * np.maximum(n[one][:, None], n[two][None, :]))
         if i == j:
@@ -260,7 +261,10 @@ def across_components(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
         for k in range(0, len(x), 1 << 15):
             u, v = one[x[k : k + (1 << 15)]], two[y[k : k + (1 << 15)]]
             near = ((low[u] == low[v]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
-            out.append(np.stack([np.maximum(ids[u], ids[v])[near], np.minimum(ids[u], ids[v])[near]]))
+            u, v = u[near], v[near]
+            once = bands[u, (bands[u] == bands[v]).argmax(axis=1)] == key  # only in the first bucket that both are in
+            u, v = u[once], v[once]
+            out.append(np.stack([np.maximum(ids[u], ids[v]), np.minimum(ids[u], ids[v])]))
         return tuple(np.concatenate(out, axis=1)) if out else (ids[:0], ids[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +275,9 @@ def across_components(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
                 return
             key, i, j, b, ids, root, n = (table_.column(k).to_numpy() for k in range(7))
             low = np.frombuffer(b"".join(table_.column(7).to_pylist()), np.uint8).reshape(len(key), -1)
+            bands = np.concatenate([c.flatten().to_numpy() for c in table_.column(8).chunks]).reshape(len(key), -1)
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            found = [compare(int(i[a]), int(j[a]), *(x[a:z] for x in (b, ids, root, n, low))) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True)]
+            found = [compare(int(key[a]), int(i[a]), int(j[a]), *(x[a:z] for x in (b, ids, root, n, low, bands))) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True)]
             u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -301,28 +306,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(signatures(docs, id_col, text_col, shingle), "signatures")
     nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "least")).alias("s")).select("digest", "s.*")
     nodes = materialize(nodes, "sets")
-    keys = nodes.select("id", F.explode("bands").alias("key"))
+    keys = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1").select("key", "head")
-    shared = materialize(keys.join(heads, "key").select("key", "head", "id"), "buckets")
-    sketch = nodes.select("id", "n", "least")
+    shared = materialize(keys.join(heads, "key").select("key", "head", "id", "band"), "buckets")
+    sketch = nodes.select("id", "n", "least", "bands")
 
-    tries = materialize(shared.filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "tries")
+    tries = shared.filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v"), "band")
     first = materialize(estimated(tries.groupBy("u").agg(F.min("v").alias("v")), sketch), "tries")
     wanted = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "members")
     stars = star_components(confirmed(first, sets, percent))
     root = lambda side: stars.select(F.col("u").alias(side), F.col("v").alias(f"root_{side}"))
 
-    named = tries.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    some = tries.filter(F.col("band") < TRIED_BANDS).select("u", "v").distinct()
+    named = some.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
     more = materialize(estimated(named.filter("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v"), sketch), "tries")
     stars = joined_by(docs, more, stars, sets, id_col, text_col, shingle, percent)
     drop(sets)
 
     labelled = shared.select("key", "id").join(root("id"), "id", "left").withColumn("root", F.coalesce("root_id", "id"))
     rest = across_components(labelled.select("key", "id", "root"), sketch)
-    rest = materialize(rest.distinct().join(tries, ["u", "v"], "left_anti"), "rest")
+    rest = materialize(rest.join(first.unionByName(more), ["u", "v"], "left_anti"), "rest")
     after = joined_by(docs, rest, stars, None, id_col, text_col, shingle, percent)
-    for old in (first, more, rest, tries, shared):
+    for old in (first, more, rest, shared):
         drop(old)
 
     labels = nodes.select("digest", "id").join(after.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
