@@ -154,12 +154,14 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> list[int]:
         if not chunk.isascii():
+            if not self.newer.isdisjoint(chunk):
+                return self._by_library(chunk)
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         text = chunk.lower()
-        if text.isascii() and text.isalpha():
+        if text.isalpha():
             return self._word(text)
-        if not chunk.isascii() and not self.newer.isdisjoint(chunk):
-            return self._by_library(chunk)
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self._word(text[:-1]) + self._word(text[-1])
         return [i for w in self.words.findall(text) for i in self._word(w)]
 
     def _by_library(self, chunk: str) -> list[int]:
@@ -180,17 +182,18 @@ class Encoder:
             if part in self.special:
                 out.append(keep([self.special[part]]))
                 continue
-            for chunk in self.chunks(part) if RARE_SPACE.search(part) else part.split():
-                try:
-                    out.append(seen[chunk])
-                    continue
-                except KeyError:
-                    made = old.get(chunk)
-                if made is None:
-                    made = keep(self._chunk(chunk))
-                out.append(made)
-                if len(chunk) <= 64:
-                    seen[chunk] = made
+            chunks = self.chunks(part) if RARE_SPACE.search(part) else part.split()
+            made = list(map(seen.get, chunks))
+            if None in made:
+                for k in [k for k, x in enumerate(made) if x is None]:
+                    chunk = chunks[k]
+                    own = seen.get(chunk) or old.get(chunk)
+                    if own is None:
+                        own = keep(self._chunk(chunk))
+                    made[k] = own
+                    if len(chunk) <= 64:
+                        seen[chunk] = own
+            out += made
             if len(seen) > KEEP:
                 self.seen, self.seen_old = {}, seen
                 seen, old = self.seen, self.seen_old
