@@ -1,7 +1,7 @@
 """Near-duplicate documents: many universal hash minima, banding, verification, and connected components.
 
 A text's A-Z are lower-cased and it is cut into words at white space; its set holds the distinct runs of
-`shingle` words. Of each set, 128 minima under universal hash functions are taken; 32 bands of 4 make bucket keys
+`shingle` words. Of each set, 256 minima under universal hash functions are taken; 32 bands of 4 make bucket keys
 (two sets of similarity 0.8 miss all of them once in 2e7). Documents with equal sets are one node from then on, so
 groups of copies cost nothing further.
 
@@ -11,7 +11,7 @@ looking only at pairs whose ends are still in different components:
 2. every document against the least documents of its first eight buckets,
 3. the pairs that share a bucket across components, compared in blocks of bounded size inside the tasks.
 So a large group of near copies costs links in proportion to its size. Pairs whose minima agree too seldom (less
-than 0.6, over five standard deviations below 0.8) are dropped; all others are confirmed on their full sets.
+than 0.68, nearly five standard deviations below 0.8) are dropped; all others are confirmed on their full sets.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole sequence as the one member of its set; repeated rows are judged row by row; rows
@@ -32,7 +32,8 @@ from .components import star_components
 from .shared import drop, materialize, table
 
 BANDS, ROWS = 32, 4
-LEAST_ESTIMATE = 0.6
+MINIMA = 256  # all of them serve the estimate, the first BANDS * ROWS the buckets
+LEAST_ESTIMATE = 0.68
 FILTER_BITS = 1 << 23
 TRIED_BANDS = 8  # whose heads a document is held against before the exact pass
 BLOCK = 2048  # members of a bucket that are compared at a time
@@ -42,8 +43,8 @@ _BYTE = _seed.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_A = _seed.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None] | np.uint32(1)
-_B = _seed.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+_A = _seed.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None] | np.uint32(1)
+_B = _seed.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 CHUNK = 1 << 18  # bytes of text that a task works on at a time
@@ -101,7 +102,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
 
 def minima(members: np.ndarray) -> np.ndarray:
     x = (members >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 4096):
         np.minimum(out, (x[None, k : k + 4096] * _A + _B).min(axis=1), out=out)
     return out
@@ -141,7 +142,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                     if len(members):
                         least = minima(members)
                         digest.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(least))
+                        bands.append(band_keys(least[: BANDS * ROWS]))
                         low.append(least.astype(np.uint8).tobytes())
                     else:
                         digest.append(None)
