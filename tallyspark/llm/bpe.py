@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 VOCABULARY = "word_bpe_49k.json"
-KEEP = 300_000  # words a worker remembers, in each of two generations
+KEEP = 200_000  # words a worker remembers, in each of two generations
 #: Characters that Python's split() takes as space and the vocabulary doesn't.
 RARE_SPACE = re.compile("[\x1c-\x1f]")
 #: White_Space of Unicode, which the vocabulary's normaliser squeezes.
@@ -132,7 +132,7 @@ class Encoder:
                         known = stable[key] = self._stable(before, token, len(self.born) + 1)
                     if known:
                         last[end], sizes[end] = token, size
-        if len(stable) > 1_500_000:
+        if len(stable) > 500_000:
             stable.clear()
         out, at = [], n - 1
         while at >= 0:
