@@ -111,6 +111,24 @@ def test_repeats_equal_brute_force(spark, edges, edge_rows, monkeypatch, shard,
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_repeats_do_not_depend_on_the_order_of_copies(spark, order):
+    """Several copies of a text in one task, the least id last or anywhere; each shares passages with others."""
+    rng = random.Random(21)
+    prose = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = []
+    for k in range(0, 60, 6):
+        first, shared, last = prose(), prose(), prose()
+        text = first + shared + last
+        rows += [(1000 + k, text, "en"), (3 + k, text, "en"), (500 + k, text, "en"), (1 + k, prose() + first, "en"), (700 + k, prose() + shared, "en")]
+    rows.sort(reverse=True)
+    if order == "shuffled":
+        rng.shuffle(rows)
+    want = brute.repeats([(i, t) for i, t, _ in rows])
+    got = suffixes.repeat_digests(documents(spark, rows).coalesce(1)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 60))) for _ in range(40)]
