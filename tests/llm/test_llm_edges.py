@@ -129,6 +129,30 @@ def test_repeats_do_not_depend_on_the_order_of_copies(spark, order):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_hot_anchors_are_split_by_their_contexts(spark, monkeypatch):
+    """A passage in most documents: anchors over the limit are known by value, and groups hold distinct contexts only."""
+    rng = random.Random(22)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(200)
+    rows = [(k, prose(80) + passage[: rng.randint(100, 200)] + prose(60), "en") for k in range(90)]
+    monkeypatch.setattr(suffixes, "HOT_ANCHOR", 20)
+    seen = {}
+    plain = suffixes.hot_contexts
+
+    def watched(contexts, hot):
+        seen["hot"] = {r["anchor"] for r in hot.collect()}
+        seen["met"] = {r["anchor"]: r["n"] for r in contexts.select("anchor", (F.length("who") / 20).cast("int").alias("k")).groupBy("anchor").agg(F.sum("k").alias("n")).collect()}
+        out = plain(contexts, hot)
+        seen["rows"], seen["columns"] = [(r["anchor"], bytes(r["context"])) for r in out.collect()], out.columns
+        return out
+
+    monkeypatch.setattr(suffixes, "hot_contexts", watched)
+    got = suffixes.repeat_digests(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats([(i, t) for i, t, _ in rows])
+    assert seen["hot"] == {a for a, n in seen["met"].items() if n > 20} and seen["hot"]
+    assert len(set(seen["rows"])) == len(seen["rows"]) < sum(seen["met"][a] for a in seen["hot"]) / 2 and "who" not in seen["columns"]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 60))) for _ in range(40)]
