@@ -1,12 +1,14 @@
 """Personal data: patterns, and sanitisation by how much a term tells about what the patterns found.
 
 Patterns find emails, IP addresses, card and phone numbers in whole texts. Then the corpus is asked which words
-would reveal them all the same: for a value e (an entity) and a word t near it, over distinct texts,
+would reveal them all the same: for a value e (an entity) and a word t of a text that has it, over distinct texts,
 PMI(t; e) = log(N n(t,e) / (n(t) n(e))) is the information t gives about e, and IC(e) = log(N / n(e)) all there is.
-A word whose share PMI / IC reaches REMOVE is removed in the documents of that entity, one that reaches GENERALISE
-is replaced by its class. Pairs seen in fewer than SUPPORT distinct texts are no evidence. Counts cover all
-documents: pairs come from the documents with entities; for the words of those pairs, all documents are counted
-(a bitmap of fixed size lets other words drop out early; it never drops one that counts).
+A word whose share PMI / IC reaches REMOVE is removed wherever it stands in the documents of that entity, one that
+reaches GENERALISE is replaced by its class. All counts are of whole texts, of words outside pattern matches. Pairs
+seen in fewer than SUPPORT distinct texts are no evidence, so neither is an entity of fewer: of a value seen once,
+every word that stands nowhere else would tell all. Counts cover all documents: pairs come from the documents with
+entities; for the words of those pairs, all documents are counted (bitmaps of fixed size let other entities, words
+and pairs drop out early; they never drop one that counts).
 
 Pattern matches are leftmost and do not overlap within a kind; a match that fails its check is dropped and the
 search goes on behind it. The search is linear in the text.
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import drop, materialize, table
 
 #: Fixed values.
 KINDS = ["email", "ip", "card", "phone"]
@@ -42,8 +44,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
 WORD = re.compile(r"[^\W\d_]{3,}")
-NEAR = 120  # code points on either side in which words count as near
-WORDS = 8
 SUPPORT = 5
 GENERALISE, REMOVE = 0.85, 0.95
 BITS = 1 << 22
@@ -94,30 +94,59 @@ def entity(kind: int, value: str) -> str:
     return f"{kind}:{value.lower() if kind < 2 else ''.join(c for c in value if c.isdigit())}"
 
 
-def near_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, word, start, end) for the words near each span that no span covers."""
-    out = []
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    return list(dict.fromkeys(entity(kind, text[a:b]) for kind, a, b in spans))
+
+
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) for the words that no span touches, in their order."""
     covered = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        left = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, max(0, a - NEAR), a)][-WORDS:]
-        right = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, b, min(len(text), b + NEAR))][:WORDS]
-        for word, s, e in left + right:
-            if not any(x < e and s < y for x, y in covered):
-                out.append((name, word.lower(), s, e))
-    return out
+    k, reach = 0, 0
+    for m in WORD.finditer(text):
+        while k < len(covered) and covered[k][0] < m.end():
+            reach = max(reach, covered[k][1])
+            k += 1
+        if m.start() >= reach:
+            yield m[0].lower(), m.start(), m.end()
 
 
-FOUND = "row long, id {id}, h long, kinds array<int>, starts array<long>, ends array<long>, near array<struct<entity:string,term:string,start:long,end:long>>"
+def word_set(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {w for w, _, _ in words_of(text, spans)} if spans else {w.lower() for w in set(WORD.findall(text))}
 
 
-def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def place(*names: str) -> int:
+    return zlib.crc32("\0".join(names).encode()) % BITS
+
+
+def bitmap(names: DataFrame) -> bytes:
+    """BITS bits with those at the places of the rows set, made inside a few tasks."""
+    columns = names.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns))), strict=True):
+                bits[place(*row)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in names.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def held(bits: bytes, at: int) -> bool:
+    return bool(bits[at >> 3] & (128 >> (at & 7)))
+
+
+FOUND = "row long, id {id}, h long, kinds array<int>, starts array<long>, ends array<long>, entities array<string>"
+
+
+def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, kinds, starts, ends, near = [], [], [], [], []
+            rows, kinds, starts, ends, entities = [], [], [], [], []
             for value in batch.column(2):
                 text = value.as_py()
                 spans = base_spans(text)
@@ -126,10 +155,10 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 kinds.append([s[0] for s in spans])
                 starts.append([s[1] for s in spans])
                 ends.append([s[2] for s in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_words(text, spans)] if spans else [])
+                entities.append(entities_of(text, spans))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(near, near_type)],
-                ["row", "id", "h", "kinds", "starts", "ends", "near"],
+                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(entities, pa.list_(pa.string()))],
+                ["row", "id", "h", "kinds", "starts", "ends", "entities"],
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -138,24 +167,22 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """Rows (term, n_term): the distinct texts in which each of the terms occurs."""
-    spots = terms.select((F.crc32(F.col("term").cast("binary")) % BITS).alias("spot")).distinct().collect()  # BITS at most
-    bitmap = np.zeros(BITS, bool)
-    bitmap[[r["spot"] for r in spots]] = True
-    flags = bitmap.tobytes()
+    """Rows (term, n_term): the distinct texts in which each of the terms occurs outside pattern matches."""
+    flags = bitmap(terms)
+    some = any(flags)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
             lists = []
             for value in batch.column(1):
-                own = []
-                for word in set(WORD.findall(value.as_py().lower())):
+                own, text = [], value.as_py()
+                for word in word_set(text, base_spans(text)):
                     hit = known.get(word)
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
-                        hit = known[word] = bool(flags[zlib.crc32(word.encode()) % BITS])
+                        hit = known[word] = held(flags, place(word))
                     if hit:
                         own.append(word)
                 lists.append(own)
@@ -172,36 +199,105 @@ def word_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     source = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("text is not null")
-    words = source if len(spots) else source.limit(0)
+    words = source if some else source.limit(0)
     once = words.mapInArrow(listed, "h long, terms array<string>").filter(F.size("terms") > 0).dropDuplicates(["h"])  # each text counts once
     return once.select("terms").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def entity_counts(found: DataFrame) -> DataFrame:
+    """Rows (entity, n_entity): the distinct texts that have each entity, whether or not any word stands by it."""
+    return found.filter(F.size("entities") > 0).select("h", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+
+
+def entity_texts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
+    """Rows (h, text, entities): each distinct text with any of the entities, once; a few other entities may come along."""
+    flags = bitmap(entities)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, texts, lists = [], [], []
+            for k, value in enumerate(batch.column(1)):
+                text = value.as_py()
+                own = [e for e in entities_of(text, base_spans(text)) if held(flags, place(e))]
+                if own:
+                    h.append(batch.column(0)[k].as_py())
+                    texts.append(text)
+                    lists.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.string()))], ["h", "text", "entities"])
+
+    source = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("text is not null")
+    words = source if any(flags) else source.limit(0)
+    return words.mapInArrow(run, "h long, text string, entities array<string>").dropDuplicates(["h"])
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """Rows (entity, term, n_both) from rows of entity_texts; entity "" counts the term in all of them."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for value, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = value.as_py()
+                words = word_set(text, base_spans(text))
+                for e in ["", *own]:
+                    counts.update((e, w) for w in words)
+                    if len(counts) > 500_000:
+                        yield rows(counts)
+                        counts.clear()
+        yield rows(counts)
+
+    return texts.mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, held_texts: DataFrame, entities: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows (entity, term, kind): the words that reveal an entity; kind 4 generalises, 5 removes."""
-    near = found.filter(F.size("near") > 0).select("h", F.explode("near").alias("x")).select("h", "x.entity", "x.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = materialize(pairs, "pairs")
-    # An entity's texts: those with any word near it, and those without.
-    spans = found.filter(F.size("kinds") > 0).select("h", "near")
-    entities = spans.select("h", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     texts = found.select("h").distinct().count()
-    counts = word_counts(docs, text_col, pairs.select("term").distinct())
     log = lambda c: F.log(F.col(c).cast("double"))
     all_ = math.log(max(texts, 1))
-    share = (all_ + log("n_both") - log("n_term") - log("n_entity")) / (F.lit(all_) - log("n_entity"))
-    scored = pairs.join(entities, "entity").join(counts, "term").withColumn("share", F.when(F.col("n_entity") < texts, share))
+    share = lambda n_term: F.when(F.col("n_entity") < texts, (all_ + log("n_both") - log(n_term) - log("n_entity")) / (F.lit(all_) - log("n_entity")))
+    counts = materialize(pair_counts(held_texts).filter(F.col("n_both") >= support), "pairs")
+    # A term is in as many texts as it is in those with entities, or more, which bounds its share from above.
+    least = counts.filter("entity = ''").select("term", F.col("n_both").alias("n_least"))
+    pairs = counts.join(entities, "entity").join(least, "term").filter(share("n_least") >= generalise - 1e-9).drop("n_least")
+    pairs = materialize(pairs, "bounded")
+    drop(counts)
+    scored = pairs.join(word_counts(docs, text_col, pairs.select("term").distinct()), "term").withColumn("share", share("n_term"))
     return scored.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 
 
+def added_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """Rows (h, more): for distinct texts, the spans (kind, start, end) of all occurrences of words that reveal one of their entities."""
+    entities = materialize(entity_counts(found).filter(F.col("n_entity") >= SUPPORT), "entities")
+    texts = materialize(entity_texts(docs, text_col, entities.select("entity")), "texts")
+    flagged = materialize(disclosing(docs, found, texts, entities, text_col), "flagged")
+    flags = bitmap(flagged.select("entity", "term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, value, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = value.as_py()
+                where: dict[str, list[tuple[int, int]]] = {}
+                for word, a, b in words_of(text, base_spans(text)):
+                    where.setdefault(word, []).append((a, b))
+                for word, at in where.items():
+                    out += [(h, e, word, [a for a, _ in at], [b for _, b in at]) for e in own if held(flags, place(e, word))]
+            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["h", "entity", "term", "starts", "ends"])
+
+    met = texts.mapInArrow(run, "h long, entity string, term string, starts array<long>, ends array<long>").join(flagged, ["entity", "term"])
+    words = met.groupBy("h", "term").agg(F.max("kind").alias("kind"), F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    spots = words.select("h", F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(F.col("kind"), s["starts"].alias("start"), s["ends"].alias("end"))).alias("s"))
+    return spots.groupBy("h").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("more"))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (row, id, h, kinds, starts, ends, more): base spans, and in more those that the method adds."""
     found = materialize(find_base(docs, id_col, text_col), "found")
-    flagged = disclosing(docs, found, text_col)
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    more = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-    more = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
-    return found.drop("near").join(more, "row", "left")
+    return found.drop("entities").join(added_spans(docs, found, text_col), "h", "left")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,9 +326,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs with spans replaced in the text; all other columns, whatever their names, stay as they are."""
     found = find_base(docs, id_col, text_col)
     found = materialize(found, "found")
-    flagged = disclosing(docs, found, text_col)
-    near = found.filter(F.size("near") > 0).select(F.col("h").alias("_h"), F.explode("near").alias("x")).select("_h", "x.*")
-    more = near.join(flagged, ["entity", "term"]).select("_h", F.struct("kind", "start", "end").alias("s")).groupBy("_h").agg(F.collect_set("s").alias("_more"))
+    more = added_spans(docs, found, text_col).select(F.col("h").alias("_h"), F.col("more").alias("_more"))
     names = docs.columns
     at = names.index(text_col)
 

@@ -189,6 +189,19 @@ def test_disclosing_words_go_only_where_the_entity_is(spark):
     assert "zebrafish" not in text[3] and "[EMAIL]" in text[3] and "keeper" in text[3] and text[400] == "zebrafish alone"
 
 
+def test_disclosing_words_are_found_in_whole_texts(spark):
+    """A name paragraphs away from the address goes with all its occurrences; counts of windows would not reach it."""
+    rng = random.Random(33)
+    prose = lambda n: " ".join("".join(rng.choice("mnopqr") for _ in range(5)) for _ in range(n))
+    rows = [(k, f"Zebrafish {prose(60)}\n\n{prose(60)} mail zk.01@mail1.example.com {prose(40)} zebrafish, {prose(3)}", "en") for k in range(12)]
+    rows += [(100 + k, prose(60), "en") for k in range(200)] + [(k, f"{prose(50)} 10.0.0.{k - 300} {prose(50)} Zebrafish", "en") for k in range(300, 302)]
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(spark, rows)).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.span_digests(documents(spark, rows)).collect()}
+    for k in range(12):
+        assert "zebrafish" not in text[k].lower() and spans[k].count("removed:") + spans[k].count("generalised:") >= 2
+    assert all(text[k] == t for k, t, _ in rows if 100 <= k < 300)
+
+
 def test_language_rejects_what_has_no_letters(edges):
     got = {r["doc_id"]: r for r in language.predict_languages(edges, language.fit_languages(edges)).collect()}
     for k in (4, 5, 6, 11):
