@@ -3,17 +3,25 @@
 A text is cut into its lines, its sentences and its paragraphs; each is lower-cased and reduced to words. A passage
 with a set of a bigrams can only reach a coefficient t with a template of b bigrams if 2 min(a, b) >= t (a + b), so
 templates outside those bounds are pruned before any comparison, and passages outside the bounds of all templates
-are dropped. All of it is DataFrame code; the templates are a few literals.
+are dropped. That is DataFrame code; the templates are a few literals.
+
+A notice may also be wrapped over lines, or be several sentences or paragraphs. So all runs of consecutive pieces
+(cut at newlines and after sentences) are compared too, as long as the size bounds allow. Texts without any of a few
+words that every passage near a template must hold are left out first, so few texts take that way.
 
 Defined results: null and empty texts, and texts whose passages reach no template, have license null, dice 0 and no
 passages; ties between templates go to the smaller name; a passage that occurs as line and sentence counts once;
+a run of pieces counts as one more passage if it overlaps none that counts already, the best runs first;
 repeated rows are scanned one by one; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +51,76 @@ def word_bigrams(passage: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def needed_words(sets: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """Words of which a passage that reaches a template has one at least: without them too few of its bigrams are left."""
+    out: set[str] = set()
+    for _, grams in sets:
+        left, need = set(grams), math.ceil(least * len(grams) / (2 - least) - 1e-9)
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+            if len(left) < need:
+                break
+            out.add(word)
+            left = {g for g in left if word not in g.split()}
+    return sorted(out)
+
+
+def runs_of_pieces(text: str, sets: list[tuple[str, list[str]]], least: float) -> tuple[str, float, int, int] | None:
+    """(license, dice, place, runs) for the runs of consecutive pieces that reach a template; sets in the order of names."""
+    sizes = [len(g) for _, g in sets]
+    high = max(sizes) * (2 - least) / least
+    where: dict[str, list[int]] = {}
+    for k, (_, grams) in enumerate(sets):
+        for g in grams:
+            where.setdefault(g, []).append(k)
+
+    def pieces(pattern: str) -> list[tuple[int, int]]:
+        cuts = [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+        return list(zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)], strict=True))
+
+    units = [(a, b, w) for a, b in pieces(r"(?<=[.!?])[ \t\r\n]+|\n") if (w := re.findall("[a-z0-9]+", text[a:b].lower()))]
+    follow = [*(u[2][0] for u in units[1:]), ""]
+    held = [{g for g in map(" ".join, zip(w, [*w[1:], x])) if g in where} for (_, _, w), x in zip(units, follow, strict=True)]
+    every = set().union(*held)
+    if not any(len(every.intersection(g)) >= least * len(g) / (2 - least) - 1e-9 for _, g in sets):
+        return None
+    starts, ends = [a for a, _, _ in units], [b for _, b, _ in units]
+    cuts = {(bisect_left(ends, a + 1), bisect_right(starts, b - 1) - 1) for p in (r"\n", r"\n[ \t\r]*\n") for a, b in pieces(p)} | {(k, k) for k in range(len(units))}
+    found = []
+    for i, (_, _, words) in enumerate(units):
+        if not held[i] or (i + 2 < len(units) and words == units[i + 1][2] == units[i + 2][2]):
+            continue  # the run that begins with the next piece is as good or better
+        seen: set[str] = set()
+        shared, last = [0] * len(sets), None
+        for j in range(i, len(units)):
+            for w in units[j][2]:
+                gram = f"{last} {w}"
+                if last is not None and gram not in seen:
+                    seen.add(gram)
+                    for k in where.get(gram, ()):
+                        shared[k] += 1
+                    if len(seen) > high:
+                        break
+                last = w
+            if len(seen) > high:
+                break
+            best = max((2.0 * n / (len(seen) + size), -k) for k, (n, size) in enumerate(zip(shared, sizes, strict=True)))
+            if best[0] >= least and ends[j] - starts[i] >= 8:
+                found.append((*best, i, j))
+    if not found:
+        return None
+    taken = [False] * len(units)
+    for _, _, i, j in found:
+        if (i, j) in cuts:
+            taken[i : j + 1] = [True] * (j + 1 - i)
+    runs = 0
+    for _, _, i, j in sorted(found, key=lambda f: (-f[0], -f[1], f[3] - f[2], f[2])):
+        if not any(taken[i : j + 1]):
+            taken[i : j + 1] = [True] * (j + 1 - i)
+            runs += 1
+    dice, place = max(f[:2] for f in found)
+    return sets[-place][0], dice, place, runs
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
     """Rows (id_col, license, dice, n_passages)."""
     sets = [(name, template_bigrams(text)) for name, text in templates]
@@ -64,9 +142,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = F.array(*[F.lit(w) for w in sorted({b for _, s in sets for b in s})])
     some = F.filter(F.transform("passages", word_bigrams), lambda b: F.size(b).between(low, high))
     scored = F.filter(F.transform(F.filter(some, lambda b: F.arrays_overlap(b, vocabulary)), dice), lambda d: d.isNotNull())
-    out = cut.select("id", scored.alias("found"))
-    best = F.array_max("found")
-    return out.select(F.col("id").alias(id_col), best["license"].alias("license"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), F.size("found").cast("long").alias("n_passages"))
+    ordered = sorted(sets)
+
+    @F.pandas_udf("dice double, place int, license string, runs long")
+    def of_runs(texts: pd.Series) -> pd.DataFrame:
+        found = [runs_of_pieces(t, ordered, least) if isinstance(t, str) else None for t in texts]
+        return pd.DataFrame([(f[1], f[2], f[0], f[3]) if f else (None, None, None, 0) for f in found], columns=["dice", "place", "license", "runs"]).astype({"dice": "float64", "place": "Int32", "license": object, "runs": "int64"})
+
+    lower = F.lower("text")
+    may = F.lit(False)
+    for word in needed_words(sets, least):
+        may = may | F.contains(lower, F.lit(word))
+    out = cut.select("id", scored.alias("found"), F.when(may, F.col("text")).alias("text"))
+    out = out.select("id", "found", of_runs("text").alias("run"))
+    best = F.array_max(F.array_compact(F.array(F.array_max("found"), F.when(F.col("run.license").isNotNull(), F.struct("run.dice", "run.place", "run.license")))))
+    out = out.select("id", best.alias("best"), (F.size("found") + F.col("run.runs")).cast("long").alias("n_passages"))
+    return out.select(F.col("id").alias(id_col), F.col("best.license").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "n_passages")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

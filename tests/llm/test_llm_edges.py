@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -327,6 +328,35 @@ def test_licenses(edges):
     assert got.pop(13) == ("mit", 1) and set(got.values()) == {(None, 0)}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_license_notices_over_lines_and_paragraphs(spark):
+    """Each template hard-wrapped, in a comment and among prose, and the Apache header as it is published."""
+    prose = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon."
+    rows, want = [(0, f"{prose}\n\n{APACHE}\n\n{prose}", "en"), (1, f"{prose} {' '.join(APACHE.split())} {prose}", "en")], {0: "apache-2.0-header", 1: "apache-2.0-header"}
+    for name, text in licenses.TEMPLATES:
+        for width in (24, 60):
+            wrapped = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+            for made in ("\n".join(wrapped), f"{prose}\n" + "\n".join(f" * {x}" for x in wrapped) + f"\n{prose}", f"{prose} " + "\n".join(wrapped) + ("" if text.endswith(".") else "\n") + f" {prose}"):
+                want[len(rows)] = name
+                rows.append((len(rows), made, "en"))
+    rows.append((999, "The license\nof this software\nis not known.", "en"))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert {k: got[k]["license"] for k in want} == want and got[999]["license"] is None
+    assert all(got[k]["dice"] > 0.95 and got[k]["n_passages"] >= 1 for k in want)
+
+
 def test_pipeline_equals_plain_stages(spark, tmp_path):
     """Each stage on what the one before kept; language, near copies, passages, personal data and tokens."""
     rng = random.Random(12)
