@@ -108,6 +108,14 @@ def test_validation(spark):
     assert [r["check"] for r in ledger.validate_statement(statement(spark), off, "s", ["n"]).collect()] == ["money in"]
 
 
+def test_payee_backfill_of_a_long_line(spark):
+    """Only starts and ends of as many words as a known name has are built: all of this line's would be gigabytes."""
+    line = "Alpha Beta " + " ".join(f"word{k}" for k in range(20_000)) + " Gamma Delta Epsilon"
+    rows = [("s", 1, "Alpha Beta", "x"), ("s", 2, "Gamma Delta Epsilon", "x"), ("s", 3, None, line), ("s", 4, "", "one Alpha Beta"), ("t", 5, None, line)]
+    got = ledger.payee_backfill(spark.createDataFrame(rows, "s string, i int, p string, l string"), "s", "i", "p", "l")
+    assert {r["i"]: r["filled"] for r in got.collect()} == {1: "Alpha Beta", 2: "Gamma Delta Epsilon", 3: "Gamma Delta Epsilon", 4: "Alpha Beta", 5: None}
+
+
 def test_payee_backfill_takes_the_longest(spark):
     rows = [("s", 1, "KEDAI BUKU", ""), ("s", 2, "KEDAI BUKU MAJU", ""), ("s", 3, "", "KEDAI BUKU MAJU rent"), ("s", 4, None, "rent KEDAI BUKU"), ("s", 5, "", "none here")]
     got = ledger.payee_backfill(spark.createDataFrame(rows, "s string, i int, p string, l string"), "s", "i", "p", "l")
