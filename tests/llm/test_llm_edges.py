@@ -203,6 +203,13 @@ def test_disclosing_words_are_found_in_whole_texts(spark):
     assert all(text[k] == t for k, t, _ in rows if 100 <= k < 300)
 
 
+def test_entities_count_without_words_beside_them(spark):
+    """Texts in which only numbers stand by the entity count for it too."""
+    rows = [(k, f"{k} 1 2 10.0.0.7 3 4", "en") for k in range(6)] + [(10, "word 10.0.0.7 word", "en"), (11, "word", "en")]
+    counts = {r["entity"]: r["n_entity"] for r in pii.entity_counts(pii.find_base(documents(spark, rows), "doc_id", "text")).collect()}
+    assert counts == {"1:10.0.0.7": 7}
+
+
 def test_language_rejects_what_has_no_letters(edges):
     got = {r["doc_id"]: r for r in language.predict_languages(edges, language.fit_languages(edges)).collect()}
     for k in (4, 5, 6, 11):
