@@ -54,6 +54,10 @@ def removal_conflicts(removed: DataFrame, key: str, keeper: str) -> DataFrame:
 
 
 def inventory_rows(documents: DataFrame, units: DataFrame) -> DataFrame:
-    """One row for each path of a document and each of its units: documents (id, paths), units (id, unit_no, text)."""
-    paths = documents.select("id", F.posexplode("paths").alias("copy", "path"))
+    """One row for each path of a document and each of its units: documents (id, path), units (id, unit_no, text).
+
+    Paths are numbered by a window, which may spill, and not gathered in one row.
+    """
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("path")) - 1
+    paths = documents.select("id", "path", copy.alias("copy"))
     return paths.join(units, "id").withColumn("duplicate", F.col("copy") > 0)

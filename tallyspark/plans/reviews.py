@@ -37,7 +37,7 @@ def inventory_rows(spark, sf_dir):
     from ..functions.text import text_parts
 
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), "text")
-    listed = duplicates.inventory(docs, "path", "text").withColumnRenamed("sha256", "id")
+    listed = docs.select(F.upper(F.sha2(F.col("text").cast("binary"), 256)).alias("id"), "path")
     once = docs.groupBy(F.upper(F.sha2(F.col("text").cast("binary"), 256)).alias("id")).agg(F.any_value("text").alias("text"))
     units = once.select("id", F.posexplode(text_parts(F.col("text"), 12_000)).alias("unit_no", "part"))
     rows = duplicates.inventory_rows(listed, units)

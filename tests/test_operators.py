@@ -108,6 +108,13 @@ def test_validation(spark):
     assert [r["check"] for r in ledger.validate_statement(statement(spark), off, "s", ["n"]).collect()] == ["money in"]
 
 
+def test_inventory_rows_number_paths_one_by_one(spark):
+    listed = spark.createDataFrame([("h", f"p{k:02}") for k in (3, 1, 2)] + [("g", "q")], "id string, path string")
+    rows = duplicates.inventory_rows(listed, spark.createDataFrame([("h", 0, "a"), ("h", 1, "b"), ("g", 0, "c")], "id string, unit_no int, text string"))
+    assert sorted((r["path"], r["unit_no"], r["copy"], r["duplicate"]) for r in rows.collect()) == [(f"p{k:02}", u, k - 1, k > 1) for k in (1, 2, 3) for u in (0, 1)] + [("q", 0, 0, False)]
+    assert "collect_list" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_payee_backfill_of_a_long_line(spark):
     """Only starts and ends of as many words as a known name has are built: all of this line's would be gigabytes."""
     line = "Alpha Beta " + " ".join(f"word{k}" for k in range(20_000)) + " Gamma Delta Epsilon"
