@@ -6,8 +6,9 @@ templates outside those bounds are pruned before any comparison, and passages ou
 are dropped. That is DataFrame code; the templates are a few literals.
 
 A notice may also be wrapped over lines, or be several sentences or paragraphs. So all runs of consecutive pieces
-(cut at newlines and after sentences) are compared too, as long as the size bounds allow. Texts without any of a few
-words that every passage near a template must hold are left out first, so few texts take that way.
+(cut at newlines and after sentences) are compared too, as long as the size bounds allow. Before either, one pass of an
+automaton over the normalised text counts each template's bigrams; a text with fewer of every template than a passage
+near it must share holds no such passage and goes no further.
 
 Defined results: null and empty texts, and texts whose passages reach no template, have license null, dice 0 and no
 passages; ties between templates go to the smaller name; a passage that occurs as line and sentence counts once;
@@ -17,7 +18,7 @@ repeated rows are scanned one by one; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from bisect import bisect_left, bisect_right
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 LEAST_DICE = 0.8
+WORDS = re.compile("[a-z0-9]+").findall
 #: Name and public wording of notices.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,17 +53,24 @@ def word_bigrams(passage: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def needed_words(sets: list[tuple[str, list[str]]], least: float) -> list[str]:
-    """Words of which a passage that reaches a template has one at least: without them too few of its bigrams are left."""
-    out: set[str] = set()
-    for _, grams in sets:
-        left, need = set(grams), math.ceil(least * len(grams) / (2 - least) - 1e-9)
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-            if len(left) < need:
-                break
-            out.add(word)
-            left = {g for g in left if word not in g.split()}
-    return sorted(out)
+@functools.lru_cache(maxsize=4)
+def bigram_automaton(grams: tuple[str, ...]):
+    """Finds all template bigrams of a normalised text in one pass, however many templates there are."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for g in grams:
+        out.add_word(f" {g} ", g)
+    out.make_automaton()
+    return out
+
+
+def may_hold(text: str, sets: list[tuple[str, list[str]]], least: float) -> bool:
+    """Whether the whole text has as many of some template's bigrams as a passage near it must share; loses no passage."""
+    grams = tuple(sorted({g for _, s in sets for g in s}))
+    normal = f" {' '.join(WORDS(text.lower()))} "
+    found = {g for _, g in bigram_automaton(grams).iter(normal)}
+    return any(sum(g in found for g in s) >= least * len(s) / (2 - least) - 1e-9 for _, s in sets) if found else False
 
 
 def runs_of_pieces(text: str, sets: list[tuple[str, list[str]]], least: float) -> tuple[str, float, int, int] | None:
@@ -138,23 +147,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.array_max(F.filter(F.array(*tried), lambda t: t.isNotNull() & (t["dice"] >= least)))
 
     # One row a passage; few have a size that any template allows and share its words.
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("passages", F.filter(passages, lambda p: F.length(p) >= 8))
-    vocabulary = F.array(*[F.lit(w) for w in sorted({b for _, s in sets for b in s})])
-    some = F.filter(F.transform("passages", word_bigrams), lambda b: F.size(b).between(low, high))
-    scored = F.filter(F.transform(F.filter(some, lambda b: F.arrays_overlap(b, vocabulary)), dice), lambda d: d.isNotNull())
     ordered = sorted(sets)
 
-    @F.pandas_udf("dice double, place int, license string, runs long")
+    @F.pandas_udf("may boolean, dice double, place int, license string, runs long")
     def of_runs(texts: pd.Series) -> pd.DataFrame:
-        found = [runs_of_pieces(t, ordered, least) if isinstance(t, str) else None for t in texts]
-        return pd.DataFrame([(f[1], f[2], f[0], f[3]) if f else (None, None, None, 0) for f in found], columns=["dice", "place", "license", "runs"]).astype({"dice": "float64", "place": "Int32", "license": object, "runs": "int64"})
-
-    lower = F.lower("text")
-    may = F.lit(False)
-    for word in needed_words(sets, least):
-        may = may | F.contains(lower, F.lit(word))
-    out = cut.select("id", scored.alias("found"), F.when(may, F.col("text")).alias("text"))
-    out = out.select("id", "found", of_runs("text").alias("run"))
+        rows = []
+        for t in texts:
+            may = isinstance(t, str) and may_hold(t, ordered, least)
+            f = runs_of_pieces(t, ordered, least) if may else None
+            rows.append((may, f[1], f[2], f[0], f[3]) if f else (may, None, None, None, 0))
+        return pd.DataFrame(rows, columns=["may", "dice", "place", "license", "runs"]).astype({"may": bool, "dice": "float64", "place": "Int32", "license": object, "runs": "int64"})
+
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("run", of_runs("text"))
+    cut = cut.withColumn("passages", F.when(F.col("run.may"), F.filter(passages, lambda p: F.length(p) >= 8)).otherwise(F.array().cast("array<string>")))
+    vocabulary = F.array(*[F.lit(w) for w in sorted({b for _, s in sets for b in s})])
+    some = F.filter(F.transform("passages", word_bigrams), lambda b: F.size(b).between(low, high))
+    scored = F.filter(F.transform(F.filter(some, lambda b: F.arrays_overlap(b, vocabulary)), dice), lambda d: d.isNotNull())
+    out = cut.select("id", scored.alias("found"), "run")
     best = F.array_max(F.array_compact(F.array(F.array_max("found"), F.when(F.col("run.license").isNotNull(), F.struct("run.dice", "run.place", "run.license")))))
     out = out.select("id", best.alias("best"), (F.size("found") + F.col("run.runs")).cast("long").alias("n_passages"))
     return out.select(F.col("id").alias(id_col), F.col("best.license").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "n_passages")
