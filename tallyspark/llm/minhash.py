@@ -116,12 +116,12 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def text_chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as UTF-8) of stretches of about CHUNK bytes; null counts as empty."""
+def text_chunks(batch: pa.RecordBatch, column: int, chunk: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as UTF-8) of stretches of about `chunk` bytes; null counts as empty."""
     at, size, own = 0, 0, []
     for row, value in enumerate(batch.column(column).cast(pa.binary())):
         text = value.as_py() or b""
-        if own and size + len(text) > CHUNK:
+        if own and size + len(text) > chunk:
             yield at, own
             at, size, own = row, 0, []
         own.append(text)

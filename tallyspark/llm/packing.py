@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encoder
+from .bpe import STRETCH, encoder
+from .minhash import text_chunks
 from .shared import materialize, table
 
 CAPACITY = 4096
@@ -153,26 +154,29 @@ def plan_rows(plan: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_token: int, vocabulary: str | None, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = int(end_token).to_bytes(4, "little")
         for batch in batches:
-            of, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                data = memoryview(e.packed(value.as_py() or "") + end)
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    own = data[at : at + 4 * capacity]
-                    of.append(row)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(own) // 4)
-                    crc.append(zlib.crc32(own))
-                    if with_ids:
-                        ids.append(np.frombuffer(own, "<i4"))
-            columns = [batch.column(0).take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(of), pa.int32())]
-            names = ["id", "piece", "start", "length", "ids_crc32", "part"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for row, texts in text_chunks(batch, 1, STRETCH):
+                of, piece, start, length, crc, ids = [], [], [], [], [], []
+                values, ends = e.packed_texts(texts)
+                whole = np.insert(values, ends, end_token).astype("<u4")  # each text with its end
+                view, at = memoryview(whole).cast("B"), 0
+                for k, end in enumerate((ends + np.arange(1, len(texts) + 1)).tolist(), row):
+                    for n, a in enumerate(range(at, end, capacity)):
+                        b = min(a + capacity, end)
+                        of.append(k)
+                        piece.append(n)
+                        start.append(a - at)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(view[4 * a : 4 * b]))
+                        if with_ids:
+                            ids.append(whole[a:b].astype(np.int32))
+                    at = end
+                columns = [batch.column(0).take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(of), pa.int32())]
+                names = ["id", "piece", "start", "length", "ids_crc32", "part"]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
