@@ -2,7 +2,8 @@
 
 Byte 2-, 3- and 4-grams of the text (A-Z lower-cased, spaces around it) are hashed into buckets. A document is the
 average of its grams' embeddings; a linear layer and a softmax give the language. The classifier is fitted on a
-sample of at most TRAIN_DOCUMENTS labelled rows, spread over the table by a hash; a fifth of them is held back to
+sample of at most TRAIN_DOCUMENTS labelled rows with about TRAIN_BYTES of text at most, spread over the table by a
+hash (texts of more than LONGEST bytes are predicted, but not learned from); a fifth of them is held back to
 fit a temperature, so that scores are probabilities, and the score below which a prediction is rejected: the one
 that REJECT of the right predictions held back stay under, and never more than MOST_REJECTING. Embedding and linear
 layer are multiplied out before prediction, so every gram costs one row of a small table. All rows are predicted.
@@ -27,6 +28,8 @@ from .minhash import text_chunks
 from .shared import table
 
 TRAIN_DOCUMENTS = 4000
+TRAIN_BYTES = 1 << 25  # of text that the sample has (about)
+LONGEST = 1 << 20  # longer texts aren't learned from
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 15, 16, 4, 0.6
 LEAST_STEPS = 12_000  # small samples are gone through more often
 REJECT, MOST_REJECTING = 0.002, 0.5
@@ -153,28 +156,28 @@ def is_held_out(id_col: str):
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS) -> Model:
     """Fit on at most `most` rows that have a text, a language and an id that isn't held out."""
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col))
-    n = rows.select(F.lit(1)).count()
-    share = int(min(1.0, most / max(n, 1)) * (1 << 30))
+    size = F.octet_length(text_col)
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col) & (size <= LONGEST))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    share = int(min(1.0, most / max(n, 1), TRAIN_BYTES / max(total, 1)) * (1 << 30))
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 30)) < share).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     sample = sorted((r["i"], r["t"], r["l"]) for r in chosen.limit(most).collect())
     return train([t.encode() for _, t, _ in sample], [x for _, _, x in sample])
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows (id_col, kept columns, lang_pred, score, rejected)."""
-    keep = keep or []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in text_chunks(batch, 0):
-                names, scores, rejected = model.predict(texts)
-                rest = [batch.column(k).slice(at, len(texts)) for k in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names[1:], "lang_pred", "score", "rejected"])
-
-    source = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    """Rows (id_col, kept columns, lang_pred, score, rejected). Only the text goes through Python."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        names, scores, rejected = [], [], []
+        for _, own in text_chunks(pa.record_batch([texts], ["text"]), 0):
+            for out, more in zip((names, scores, rejected), model.predict(own), strict=True):
+                out += more
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
+
+    found = docs.select(F.col(id_col), *(keep or []), predicted(F.col(text_col)).alias("_found"))
+    return found.select(id_col, *(keep or []), "_found.*")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

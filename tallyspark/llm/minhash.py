@@ -9,12 +9,15 @@ Links are sought in three passes, each followed by components by alternating lar
 looking only at pairs whose ends are still in different components:
 1. every document against the least document of one of its buckets,
 2. every document against the least documents of its first eight buckets,
-3. the pairs that share a bucket across components, compared in blocks of bounded size inside the tasks.
+3. the pairs that share a bucket across components, compared in blocks of bounded size inside the tasks: first on
+   minima, then those documents that have a likely partner once more, with their full sets. Only links that form a
+   forest leave a block, fewer than it has documents.
 So a large group of near copies costs links in proportion to its size. Pairs whose minima agree too seldom (less
 than 0.68, nearly five standard deviations below 0.8) are dropped; all others are confirmed on their full sets.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer
-words than a shingle has its whole sequence as the one member of its set; repeated rows are judged row by row; rows
+words than a shingle has its whole sequence as the one member of its set; repeated rows are judged row by row, and so
+are several texts of one id (a text's component is named by the least id of the rows whose texts it holds); rows
 with a null id get component null and are kept; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -100,6 +103,10 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def set_digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def minima(members: np.ndarray) -> np.ndarray:
     x = (members >> np.uint64(32)).astype(np.uint32)
     out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
@@ -131,17 +138,17 @@ def text_chunks(batch: pa.RecordBatch, column: int, chunk: int = CHUNK) -> Itera
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, digest, bands, least): size and digest of each set, bucket keys, and the minima's low bytes."""
+    """Rows (id, h, n, digest, bands, least): size and digest of each set, bucket keys, and the minima's low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in text_chunks(batch, 1):
+            for at, texts in text_chunks(batch, 2):
                 n, digest, bands, low = [], [], [], []
                 for members in shingle_sets(texts, shingle):
                     n.append(len(members))
                     if len(members):
                         least = minima(members)
-                        digest.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+                        digest.append(set_digest(members))
                         bands.append(band_keys(least[: BANDS * ROWS]))
                         low.append(least.astype(np.uint8).tobytes())
                     else:
@@ -149,12 +156,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                         bands.append(None)
                         low.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                    ["id", "n", "digest", "bands", "least"],
+                    [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                    ["id", "h", "n", "digest", "bands", "least"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, n long, digest binary, bands array<long>, least binary")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, h long, n long, digest binary, bands array<long>, least binary")
 
 
 def id_bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -170,25 +177,31 @@ def id_bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.packbits(out[:bits], bitorder="little")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, members) for the wanted ids: their whole shingle sets, 8 bytes a member."""
-    bitmap = id_bitmap(wanted)
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (node, members) for the wanted nodes: their whole shingle sets, 8 bytes a member."""
+    named = nodes.select("node", "id", "digest").join(wanted, "node", "left_semi")
+    bitmap = id_bitmap(named.select("id"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spot = ids % FILTER_BITS
+            spot = batch.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
             yield batch.filter(pa.array(bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in text_chunks(batch, 1):
-                members = [m.tobytes() for m in shingle_sets(texts, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(members, pa.binary())], ["id", "members"])
+            for _, texts in text_chunks(batch, 1):
+                sets = shingle_sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array([m.tobytes() for m in sets], pa.binary())], ["digest", "members"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    near = source.mapInArrow(some, "id long, text string").join(wanted, "id", "left_semi")
-    return near.mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+    near = source.mapInArrow(some, "id long, text string").join(named.select("id").distinct(), "id", "left_semi")
+    # An id may stand on several texts: the digest tells which of them is meant.
+    return near.mapInArrow(run, "digest binary, members binary").dropDuplicates(["digest"]).join(named.select("digest", "node"), "digest").select("node", "members")
+
+
+def estimates(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Similarity as the minima's low bytes tell it; a byte in 256 agrees by chance."""
+    return ((low[u] == low[v]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,12 +211,12 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            agree = (x == y).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array((agree - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE))
+            low = np.frombuffer(b"".join([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()]), np.uint8).reshape(2 * batch.num_rows, -1)
+            at = np.arange(batch.num_rows)
+            yield batch.select([0, 1]).filter(pa.array(estimates(low, at, at + batch.num_rows) >= LEAST_ESTIMATE))
 
-    left = nodes.select(F.col("id").alias("u"), F.col("least").alias("x"), F.col("n").alias("nu"))
-    right = nodes.select(F.col("id").alias("v"), F.col("least").alias("y"), F.col("n").alias("nv"))
+    left = nodes.select(F.col("node").alias("u"), F.col("least").alias("x"), F.col("n").alias("nu"))
+    right = nodes.select(F.col("node").alias("v"), F.col("least").alias("y"), F.col("n").alias("nv"))
     both = pairs.join(left, "u").join(right, "v").filter("100 * least(nu, nv) >= 80 * greatest(nu, nv)")
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -224,118 +237,196 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("members").alias("y")), "v")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("members").alias("y")), "v")
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def joined_by(docs: DataFrame, pairs: DataFrame, stars: DataFrame, sets: DataFrame | None, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The components that the stars and those of the pairs that are links make together."""
-    if not pairs.limit(1).count():
-        return stars
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    if sets is not None:
-        wanted = materialize(wanted.join(sets.select("id"), "id", "left_anti"), "wanted")
-    new = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "members")
-    after = star_components(stars.unionByName(confirmed(pairs, new if sets is None else sets.unionByName(new), percent)))
-    for old in (stars, new, wanted):
-        drop(old)
-    return after
-
-
-def across_components(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a bucket (key) but no component (root), and whose sizes and minima allow a link.
-
-    Members of a bucket are compared in blocks of bounded size inside the tasks; only what may be a link comes out.
-    """
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(sketch.select("id", "n", "least", "bands"), "id").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "id", "root", "n", "least", "bands")
-
-    def compare(key: int, i: int, j: int, b: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(b)),) * 2
-        may = (root[one][:, None] != root[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= 80 * np.maximum(n[one][:, None], n[two][None, :]))
-        if i == j:
-            may &= ids[one][:, None] > ids[two][None, :]
-        x, y = np.nonzero(may)
-        out = []
-        for k in range(0, len(x), 1 << 15):
-            u, v = one[x[k : k + (1 << 15)]], two[y[k : k + (1 << 15)]]
-            near = ((low[u] == low[v]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
-            u, v = u[near], v[near]
-            once = bands[u, (bands[u] == bands[v]).argmax(axis=1)] == key  # only in the first bucket that both are in
-            u, v = u[once], v[once]
-            out.append(np.stack([np.maximum(ids[u], ids[v]), np.minimum(ids[u], ids[v])]))
-        return tuple(np.concatenate(out, axis=1)) if out else (ids[:0], ids[:0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table_: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table_.num_rows:
-                return
-            key, i, j, b, ids, root, n = (table_.column(k).to_numpy() for k in range(7))
-            low = np.frombuffer(b"".join(table_.column(7).to_pylist()), np.uint8).reshape(len(key), -1)
-            bands = np.concatenate([c.flatten().to_numpy() for c in table_.column(8).chunks]).reshape(len(key), -1)
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            found = [compare(int(key[a]), int(i[a]), int(j[a]), *(x[a:z] for x in (b, ids, root, n, low, bands))) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True)]
-            u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        for batch in batches:  # sorted; the last group of a batch may go on in the next
-            if not batch.num_rows:
-                continue
-            group = [batch.column(k).to_numpy() for k in range(3)]
-            last = int(np.flatnonzero(np.logical_or.reduce([g != g[-1] for g in group]))[-1]) + 1 if any((g != g[-1]).any() for g in group) else 0
-            if last or held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+class Block:
+    """Rows of one block of a bucket: those on side 0 meet those on side 1, those on side 2 each other."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda name: rows.column(name).to_numpy()
+        self.node, self.root, self.side, self.n, self.key = (column(c) for c in ("node", "root", "side", "n", "key"))
+        self.low = np.frombuffer(b"".join(rows.column("least").to_pylist()), np.uint8).reshape(len(self.node), -1)
+        self.bands = np.concatenate([c.flatten().to_numpy() for c in rows.column("bands").chunks]).reshape(len(self.node), -1)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs across components that may be links and meet in no earlier band, so many at a time."""
+        one, two = (np.flatnonzero((self.side == s) | (self.side == 2)) for s in (0, 1))
+        for k in range(0, len(one), 512):
+            own = one[k : k + 512]
+            n, m = self.n[own][:, None], self.n[two][None, :]
+            may = (self.root[own][:, None] != self.root[two][None, :]) & (100 * np.minimum(n, m) >= 80 * np.maximum(n, m))
+            may &= (self.side[own][:, None] < 2) | (self.node[own][:, None] > self.node[two][None, :])
+            x, y = np.nonzero(may)
+            for a in range(0, len(x), 1 << 15):
+                u, v = own[x[a : a + (1 << 15)]], two[y[a : a + (1 << 15)]]
+                near = estimates(self.low, u, v) >= LEAST_ESTIMATE
+                u, v = u[near], v[near]
+                once = self.bands[u, (self.bands[u] == self.bands[v]).argmax(axis=1)] == self.key[u]
+                if once.any():
+                    yield u[once], v[once]
+
+    def with_partners(self) -> np.ndarray:
+        out = np.zeros(len(self.node), bool)
+        for u, v in self.pairs():
+            out[u] = out[v] = True
+        return out
+
+    def forest(self, members: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links (u, v) that unite what all confirmed pairs of the block unite: fewer than it has rows."""
+        sets = [np.frombuffer(m, np.uint64) for m in members]
+        of = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        values, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(many > 1) - 1  # only members of two sets can be common
+        keep = (many > 1)[code]
+        of, code = of[keep], shared[code[keep]]
+        order = np.argsort(code, kind="stable")
+        of, code = of[order], code[order]
+        width = 1 << 13
+        cuts = np.searchsorted(code, np.arange(0, int(code[-1]) + width + 1, width)) if len(code) else [0]
+        slabs = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            bits = np.zeros((len(sets), width), bool)
+            bits[of[a:b], code[a:b] - k * width] = True
+            slabs.append(np.packbits(bits, axis=1).view(np.uint64))
+        label = np.arange(len(sets))
+        for u, v in self.pairs():
+            apart = label[u] != label[v]
+            u, v = u[apart], v[apart]
+            common = np.zeros(len(u), np.int64)
+            for slab in slabs:
+                for a in range(0, len(u), 4096):
+                    common[a : a + 4096] += np.bitwise_count(slab[u[a : a + 4096]] & slab[v[a : a + 4096]]).sum(axis=1, dtype=np.int64)
+            links = 100 * common >= percent * (self.n[u] + self.n[v] - common)
+            u, v = u[links], v[links]
+            while len(u):
+                a, b = label[u], label[v]
+                u, v, a, b = (x[a != b] for x in (u, v, a, b))
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return self.node[own], self.node[label[own]]
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block; batches are sorted by g, and a block may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(0)[-1].as_py() != g[a]:
+                yield pa.Table.from_batches(held)
                 held = []
-            held.append(batch.slice(last))
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long")
 
+def blocks_of(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows (g, side, key, node, root, n, least, bands): the members of buckets (key) that hold several components (root), by block.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (id_col, n_shingles, component_id, kept); one document of each component is kept, the one of least id.
-
-    The bands are laid out for a percent of 80 or more.
+    A component with more than BLOCK members in a bucket has blocks of its own, which meet those of other components
+    only; all small ones share blocks that meet each other too. So members of one large component, however many,
+    are sent once for each block of others.
     """
+    size = labelled.groupBy("key", "root").count()
+    parts = F.ceil(F.col("count") / BLOCK).cast("int")
+    large = F.when(F.col("count") > BLOCK, F.struct("root", parts.alias("parts")))
+    small = F.sum(F.when(F.col("count") <= BLOCK, F.col("count")).otherwise(0))
+    mixed = size.groupBy("key").agg(F.count("*").alias("roots"), F.array_compact(F.collect_list(large)).alias("large"), F.ceil(small / BLOCK).cast("int").alias("rest")).filter("roots > 1")
+    rows = labelled.join(mixed, "key")
+    rows = rows.withColumn("own_parts", F.try_element_at(F.transform(F.filter("large", lambda b: b["root"] == F.col("root")), lambda b: b["parts"]), F.lit(1)))
+    block = lambda root, part: F.struct(root.cast("long").alias("root"), part.cast("int").alias("part"))
+    spread = F.xxhash64(F.lit("block"), "node")
+    rows = rows.withColumn("own", F.when(F.col("own_parts").isNotNull(), block(F.col("root"), F.pmod(spread, "own_parts"))).otherwise(block(F.lit(-1), F.pmod(spread, F.greatest("rest", F.lit(1))))))
+    upto = lambda n: F.slice(F.sequence(F.lit(0), n), 1, n)
+    all_ = F.concat(F.flatten(F.transform("large", lambda b: F.transform(upto(b["parts"]), lambda p: block(b["root"], p)))), F.transform(upto(F.col("rest")), lambda p: block(F.lit(-1), p)))
+    met = rows.withColumn("other", F.explode(F.filter(all_, lambda o: (o["root"] < 0) | (o["root"] != F.col("own.root")))))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"), "key", "node", "root")
+    return met.join(sketch, "node").select("g", "side", "key", "node", "root", "n", "least", "bands")
+
+
+BLOCK_ROWS = "g long, side int, key long, node long, root long, n long, least binary, bands array<long>"
+
+
+def links_across(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) that unite all components which a link joins within some bucket; fewer than rows of blocks."""
+    sketch = nodes.select("node", "n", "least", "bands")
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_block(batches):
+            yield from rows.filter(pa.array(Block(rows).with_partners())).combine_chunks().to_batches()
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_block(batches):
+            u, v = Block(rows).forest(rows.column("members").to_pylist(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    dealt = lambda rows: rows.repartition("g").sortWithinPartitions("g")
+    some = materialize(dealt(blocks_of(labelled, sketch)).mapInArrow(partnered, BLOCK_ROWS), "blocks")
+    sets = full_sets(docs, nodes, some.select("node").distinct(), id_col, text_col, shingle)
+    whole = some.join(sets, "node").select("g", "side", "key", "node", "root", "n", "least", "bands", "members")
+    links = materialize(dealt(whole).mapInArrow(united, "u long, v long"), "links")
+    drop(some)
+    return links
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (id, h, n_shingles, component_id, kept), h being the xxhash64 of the text (null: null)."""
     signed = materialize(signatures(docs, id_col, text_col, shingle), "signatures")
     nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "least")).alias("s")).select("digest", "s.*")
-    nodes = materialize(nodes, "sets")
-    keys = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1").select("key", "head")
-    shared = materialize(keys.join(heads, "key").select("key", "head", "id", "band"), "buckets")
-    sketch = nodes.select("id", "n", "least", "bands")
-
-    tries = shared.filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v"), "band")
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1").select("key", "head")
+    shared = materialize(keys.join(heads, "key").select("key", "head", "node", "band"), "buckets")
+    sketch = nodes.select("node", "n", "least")
+    sets_of = lambda pairs: full_sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), id_col, text_col, shingle)
+
+    tries = shared.filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v"), "band")
     first = materialize(estimated(tries.groupBy("u").agg(F.min("v").alias("v")), sketch), "tries")
-    wanted = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "members")
-    stars = star_components(confirmed(first, sets, percent))
+    stars = star_components(confirmed(first, sets_of(first), percent))
     root = lambda side: stars.select(F.col("u").alias(side), F.col("v").alias(f"root_{side}"))
 
     some = tries.filter(F.col("band") < TRIED_BANDS).select("u", "v").distinct()
     named = some.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
     more = materialize(estimated(named.filter("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v"), sketch), "tries")
-    stars = joined_by(docs, more, stars, sets, id_col, text_col, shingle, percent)
-    drop(sets)
-
-    labelled = shared.select("key", "id").join(root("id"), "id", "left").withColumn("root", F.coalesce("root_id", "id"))
-    rest = across_components(labelled.select("key", "id", "root"), sketch)
-    rest = materialize(rest.join(first.unionByName(more), ["u", "v"], "left_anti"), "rest")
-    after = joined_by(docs, rest, stars, None, id_col, text_col, shingle, percent)
-    for old in (first, more, rest, shared):
+    wider = star_components(stars.unionByName(confirmed(more, sets_of(more), percent)))
+    for old in (first, more, stars):
         drop(old)
+    stars = wider
+
+    labelled = shared.select("key", "node").join(root("node"), "node", "left").select("key", "node", F.coalesce("root_node", "node").alias("root"))
+    links = links_across(docs, nodes, labelled, id_col, text_col, shingle, percent)
+    after = star_components(stars.unionByName(links))
+    for old in (links, shared, stars):
+        drop(old)
+
+    ids = nodes.select("digest", "id", "node").join(after.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
+    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = signed.select("id", "h", "n", "digest").join(ids.join(least, "root").select("digest", "component_id"), "digest", "left")
+    out = out.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (id_col, n_shingles, component_id, kept); one document of each component is kept, the one of least id.
+
+    The bands are laid out for a percent of 80 or more.
+    """
+    return judged(docs, id_col, text_col, shingle, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
 
-    labels = nodes.select("digest", "id").join(after.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    out = signed.select("id", "n", "digest").join(labels, "digest", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that are kept. Rows go one by one: another text of the same id stays if it is kept itself."""
+    gone = judged(docs, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_h"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
