@@ -4,12 +4,17 @@ Patterns find emails, IP addresses, card and phone numbers in whole texts. Then
 would reveal them all the same: for a value e (an entity) and a word t of a text that has it, over distinct texts,
 PMI(t; e) = log(N n(t,e) / (n(t) n(e))) is the information t gives about e, and IC(e) = log(N / n(e)) all there is.
 A word whose share PMI / IC reaches REMOVE is removed wherever it stands in the documents of that entity, one that
-reaches GENERALISE is replaced by its class. All counts are of whole texts, of words outside pattern matches. Pairs
+reaches GENERALISE is replaced by the general class of all such words, [TERM]. All counts are of whole texts, of words outside pattern matches. Pairs
 seen in fewer than SUPPORT distinct texts are no evidence, so neither is an entity of fewer: of a value seen once,
 every word that stands nowhere else would tell all. Counts cover all documents: pairs come from the documents with
 entities; for the words of those pairs, all documents are counted (bitmaps of fixed size let other entities, words
 and pairs drop out early; they never drop one that counts).
 
+Entities are the single values and what they have in common with others (an email's domain, a network, an issuer, a
+phone's prefix), so words that tell whose addresses these are get evidence even where each address is seen once.
+Secrets (the value of an assignment, with LEAST_BITS of information a character) are entities that are their own
+term: PMI is all of IC, without any need for evidence, so they are removed.
+
 Pattern matches are leftmost and do not overlap within a kind; a match that fails its check is dropped and the
 search goes on behind it. The search is linear in the text.
 
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop, materialize, table
@@ -43,6 +48,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
+#: A value that something is set to; a secret if its characters carry enough information.
+VALUE = re.compile(r"""[=:][\x20\t]*["']?([A-Za-z0-9+/_-]{20,4096})(?![A-Za-z0-9+/_-])""")
+LEAST_BITS = 3.0  # a character of a secret, by the frequencies of its own characters
 WORD = re.compile(r"[^\W\d_]{3,}")
 SUPPORT = 5
 GENERALISE, REMOVE = 0.85, 0.95
@@ -90,6 +98,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """Values with three digits, three letters and LEAST_BITS a character: keys and tokens, not words or file names."""
+    out = []
+    if "=" in text or ":" in text:
+        for m in VALUE.finditer(text):
+            counts = Counter(m[1])
+            digits = sum(n for c, n in counts.items() if c.isdigit())
+            letters = sum(n for c, n in counts.items() if c.isalpha())
+            bits = -sum(n * math.log2(n / len(m[1])) for n in counts.values()) / len(m[1])
+            if digits >= 3 and letters >= 3 and bits >= LEAST_BITS:
+                out.append((m.start(1), m.end(1)))
+    return out
+
+
 def entity(kind: int, value: str) -> str:
     return f"{kind}:{value.lower() if kind < 2 else ''.join(c for c in value if c.isdigit())}"
 
@@ -98,6 +120,19 @@ def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     return list(dict.fromkeys(entity(kind, text[a:b]) for kind, a, b in spans))
 
 
+def with_groups(entities: Column) -> Column:
+    """The entities and what they have in common with others: an email's domain, a network, a card's issuer, a phone's prefix."""
+    value = lambda e: F.substr(e, F.lit(3))
+    group = lambda e: F.when(e.startswith("0:"), F.concat(F.lit("0@"), F.substring_index(e, "@", -1))).when(e.startswith("1:"), F.concat(F.lit("1/"), F.substring_index(value(e), ".", 3))).when(e.startswith("2:"), F.concat(F.lit("2/"), F.substr(value(e), F.lit(1), F.lit(6)))).otherwise(F.concat(F.lit("3/"), F.substr(value(e), F.lit(1), F.lit(5))))
+    return F.array_distinct(F.concat(entities, F.transform(entities, group)))
+
+
+def group_of(entity_: str) -> str:
+    """with_groups for one entity."""
+    kind, value = entity_[0], entity_[2:]
+    return f"{kind}@{value.rpartition('@')[2]}" if kind == "0" else f"{kind}/{value.rpartition('.')[0] if kind == '1' else value[: 6 if kind == '2' else 5]}"
+
+
 def words_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(word, start, end) for the words that no span touches, in their order."""
     covered = sorted((a, b) for _, a, b in spans)
@@ -139,14 +174,15 @@ def held(bits: bytes, at: int) -> bool:
     return bool(bits[at >> 3] & (128 >> (at & 7)))
 
 
-FOUND = "row long, id {id}, h long, kinds array<int>, starts array<long>, ends array<long>, entities array<string>"
+SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = "row long, id {id}, h long, kinds array<int>, starts array<long>, ends array<long>, entities array<string>, secrets array<struct<kind:int,start:long,end:long>>"
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, kinds, starts, ends, entities = [], [], [], [], []
+            rows, kinds, starts, ends, entities, secrets = [], [], [], [], [], []
             for value in batch.column(2):
                 text = value.as_py()
                 spans = base_spans(text)
@@ -156,9 +192,10 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 starts.append([s[1] for s in spans])
                 ends.append([s[2] for s in spans])
                 entities.append(entities_of(text, spans))
+                secrets.append([{"kind": 5, "start": a, "end": b} for a, b in secret_spans(text)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(entities, pa.list_(pa.string()))],
-                ["row", "id", "h", "kinds", "starts", "ends", "entities"],
+                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(entities, pa.list_(pa.string())), pa.array(secrets, pa.list_(SPAN))],
+                ["row", "id", "h", "kinds", "starts", "ends", "entities", "secrets"],
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -218,7 +255,8 @@ def entity_texts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFra
             h, texts, lists = [], [], []
             for k, value in enumerate(batch.column(1)):
                 text = value.as_py()
-                own = [e for e in entities_of(text, base_spans(text)) if held(flags, place(e))]
+                named = entities_of(text, base_spans(text))
+                own = [e for e in dict.fromkeys([*named, *map(group_of, named)]) if held(flags, place(e))]
                 if own:
                     h.append(batch.column(0)[k].as_py())
                     texts.append(text)
@@ -270,7 +308,8 @@ def disclosing(docs: DataFrame, found: DataFrame, held_texts: DataFrame, entitie
 
 def added_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     """Rows (h, more): for distinct texts, the spans (kind, start, end) of all occurrences of words that reveal one of their entities."""
-    entities = materialize(entity_counts(found).filter(F.col("n_entity") >= SUPPORT), "entities")
+    grouped = found.withColumn("entities", with_groups(F.col("entities")))
+    entities = materialize(entity_counts(grouped).filter(F.col("n_entity") >= SUPPORT), "entities")
     texts = materialize(entity_texts(docs, text_col, entities.select("entity")), "texts")
     flagged = materialize(disclosing(docs, found, texts, entities, text_col), "flagged")
     flags = bitmap(flagged.select("entity", "term"))
@@ -297,7 +336,8 @@ def added_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (row, id, h, kinds, starts, ends, more): base spans, and in more those that the method adds."""
     found = materialize(find_base(docs, id_col, text_col), "found")
-    return found.drop("entities").join(added_spans(docs, found, text_col), "h", "left")
+    rows = found.drop("entities").join(added_spans(docs, found, text_col), "h", "left")
+    return rows.withColumn("more", F.array_sort(F.concat(F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")), "secrets"))).drop("secrets")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +345,7 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = F.array(*map(F.lit, SPAN_KINDS))
     base = F.arrays_zip(F.col("kinds").alias("kind"), F.col("starts").alias("start"), F.col("ends").alias("end"))
     text = lambda s: F.concat_ws(":", F.element_at(label, s["kind"] + 1), s["start"], s["end"])
-    rows = find_spans(docs, id_col, text_col).withColumn("base", F.transform(base, text)).withColumn("added", F.transform(F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")), text))
+    rows = find_spans(docs, id_col, text_col).withColumn("base", F.transform(base, text)).withColumn("added", F.transform("more", text))
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{KINDS[k]}")
     return rows.select(
         F.col("id").alias(id_col), *[count(k) for k in range(4)], F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat("base", "added"), ",").alias("spans")
@@ -336,7 +376,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for value, more_ in zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True):
                 text = value.as_py()
                 spans = base_spans(text) if text else []
-                spans += [(s["kind"], s["start"], s["end"]) for s in more_ or []]
+                spans += [(5, a, b) for a, b in secret_spans(text or "")] + [(s["kind"], s["start"], s["end"]) for s in more_ or []]
                 texts.append(rewritten(text, spans) if spans else text)
             columns = [batch.column(k) for k in range(len(names))]
             columns[at] = pa.array(texts, pa.string())

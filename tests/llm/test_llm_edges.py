@@ -399,3 +399,27 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 
 def test_digest_helper():
     assert pii.digest([(0, 1, 2), (3, 4, 5)]) == hashlib.sha256(b"email:1:2,phone:4:5").hexdigest()
+
+
+def test_groups_and_secrets(spark):
+    """Words that only go with one domain, though each address is seen once; keys and tokens; what merely looks like one."""
+    rng = random.Random(34)
+    prose = lambda n: " ".join("".join(rng.choice("mnopqr") for _ in range(5)) for _ in range(n))
+    rows = [(k, f"{prose(30)} Zebrafish {prose(30)} write to u{k}.x@zoo.example.com {prose(10)}", "en") for k in range(12)] + [(100 + k, prose(60) + f" w{k}@other{k}.example.org", "en") for k in range(150)]
+    rows += [(400, 'token = "ab59b03a9d0189cc1ff5513a5b496212436c9d01" é', "en"), (401, "path: aaaaaaaaaaaaaaaaaaaaaaaa1112 and x = abcdefghijklmnopqrstuvwxyz", "en")]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(documents(spark, rows)).collect()}
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(spark, rows)).collect()}
+    for k in range(12):
+        a = rows[k][1].index("Zebrafish")
+        assert f"removed:{a}:{a + 9}" in got[k] and "Zebrafish" not in text[k]
+    assert all("removed" not in got[k] and "generalised" not in got[k] for k in range(100, 250))
+    assert got[400] == "removed:9:49" and text[400] == 'token = "" é' and got[401] == "" and text[401] == rows[-1][1]
+    for e in ("0:a.b@c.example.com", "1:10.0.0.7", "2:4539148803436467", "3:10175557713"):
+        made = spark.createDataFrame([(e,)], "e string").select(pii.with_groups(F.array("e")).alias("g")).first()["g"]
+        assert made == [e, pii.group_of(e)]
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    text = " ".join(f"word 10.{k >> 8 & 255}.{k & 255}.7 u{k}@m.example.com" for k in range(25_000))
+    rows = pii.span_digests(documents(spark, [(1, text, "en")])).collect()
+    assert (rows[0]["n_ip"], rows[0]["n_email"]) == (25_000, 25_000)
