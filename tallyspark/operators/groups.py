@@ -45,6 +45,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "bank_id", rounds
         import tempfile
 
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-components-"))
     a, b = edges.columns
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u != v").distinct().checkpoint()

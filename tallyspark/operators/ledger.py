@@ -82,11 +82,11 @@ def header_constant(rows: DataFrame, statement: str, columns: list[str]) -> Data
     return rows.groupBy(statement).agg((F.count_distinct(F.struct(*columns)) == 1).alias("constant"), F.count_distinct(F.struct(*columns)).alias("variants"))
 
 
-def payee_backfill(rows: DataFrame, statement: str, row_id: str, party: str, line: str, known_party: str = "party") -> DataFrame:
+def payee_backfill(rows: DataFrame, statement: str, row_id: str, party: str, line: str, heading: str | None = None) -> DataFrame:
     """Adds `filled`: a blank party takes the longest known one of its statement that starts or ends the line.
 
     Starts and ends of the line at word borders are the only possible names, so those of as many words as a known name
-    of the statement has are exploded and equi-joined.
+    of the statement has are exploded and equi-joined. Rows whose heading names a fee or a charge print no payee: they stay blank.
     """
     known = rows.filter(F.length(party) >= 6).select(statement, F.col(party).alias("_known")).distinct()
     words = F.split(F.col(line), " ")
@@ -94,7 +94,10 @@ def payee_backfill(rows: DataFrame, statement: str, row_id: str, party: str, lin
     sizes = known.groupBy(statement).agg(F.collect_set(F.size(F.split("_known", " "))).alias("_sizes"))
     fits = F.filter("_sizes", lambda k: k < n)
     edges = F.array_distinct(F.concat(F.transform(fits, lambda k: F.array_join(F.slice(words, 1, k), " ")), F.transform(fits, lambda k: F.array_join(F.slice(words, n - k + 1, k), " "))))
-    open_ = rows.filter((F.coalesce(F.col(party), F.lit("")) == "") & (n >= 2)).join(sizes, statement)
+    open_ = rows.filter((F.coalesce(F.col(party), F.lit("")) == "") & (n >= 2))
+    if heading:
+        open_ = open_.filter(~F.regexp_like(F.coalesce(F.col(heading), F.lit("")), F.lit(r"\bFEE\b|CHARGE")))
+    open_ = open_.join(sizes, statement)
     found = open_.select(statement, row_id, F.explode(edges).alias("_known")).join(known, [statement, "_known"])
     best = found.groupBy(row_id).agg(F.max(F.struct(F.length("_known").alias("l"), "_known")).alias("b")).select(row_id, F.col("b._known").alias("_filled"))
     return rows.join(best, row_id, "left").withColumn("filled", F.coalesce(F.nullif(F.col(party), F.lit("")), "_filled")).drop("_filled")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.money import currencies_agree, unless_conflicting
 from .joins import TOLERANCE, tolerance_join
 
 CONTENT_SLOTS, FILENAME_SLOTS, NAME_MATCH = 30, 10, 0.35
@@ -70,15 +71,15 @@ def reference_route(banks: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def narrated_references(banks: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs whose reference stands in the bank's narration at word borders: (bank_id, item_id, ref).
+    """Pairs whose reference stands in the bank's narration at word borders, whatever white space is in it: (bank_id, item_id, ref).
 
-    Tokens of the narration, alone and joined with their neighbours up to four, are the possible spellings.
+    Stretches of the narration that are as long as some reference are the possible spellings; they meet the references
+    in an equi-join. There are few different lengths, so they travel as one short array.
     """
-    tokens = F.regexp_extract_all(F.lower("narration"), F.lit(r"([^\s]+)"), 1)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice(tokens, i, n), ""))))
-    trimmed = F.array_distinct(F.transform(spans, lambda s: F.regexp_replace(s, r"(?U)^[^\w/-]+|[^\w/-]+$", "")))
-    said = banks.filter(F.col("narration") != "").select("bank_id", F.explode(trimmed).alias("ref"))
-    return said.join(items.select("item_id", F.explode("refs").alias("ref")), "ref").distinct()
+    refs = items.select("item_id", F.explode("refs").alias("ref"))
+    lengths = refs.agg(F.collect_set(F.length("ref")).alias("lengths"))  # one row
+    said = banks.filter(F.col("narration") != "").crossJoin(F.broadcast(lengths)).select("bank_id", F.explode(T.spoken("narration", "lengths")).alias("ref"))
+    return said.join(refs, "ref").distinct()
 
 
 def gram_vectors(items: DataFrame, key: str, grams: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -87,9 +88,11 @@ def gram_vectors(items: DataFrame, key: str, grams: Column) -> tuple[DataFrame,
     return counts, counts.groupBy("gram").agg(F.count("*").alias("df")), items.agg(F.count("*").alias("n"))
 
 
-def name_route(banks: DataFrame, items: DataFrame, least: float = NAME_MATCH) -> DataFrame:
+def name_route(banks: DataFrame, items: DataFrame, least: float = NAME_MATCH, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs of names with IDF-weighted trigram cosine of at least `least`: (bank_id, item_id, name).
 
+    With pairs (bank_id, item_id), only these are compared, not all that share a trigram.
+
     banks: (bank_id, name), a row a name; items: (item_id, name). A gram that no item has still counts in the length
     of the bank's vector. Equal names are compared once and fan out afterwards.
     """
@@ -102,11 +105,17 @@ def name_route(banks: DataFrame, items: DataFrame, least: float = NAME_MATCH) ->
     asked = bank_names.select("bank_name", F.explode(T.grams(F.col("bank_name"))).alias("gram")).groupBy("bank_name", "gram").agg(F.count("*").alias("tf"))
     asked = asked.join(df, "gram", "left").crossJoin(size).select("bank_name", "gram", (F.col("tf") * F.when(F.col("df").isNull(), F.log1p(F.col("n").cast("double"))).otherwise(F.log1p(F.col("n") / F.col("df")))).alias("v"))
     bank_length = asked.groupBy("bank_name").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("bank_length"))
-    dot = asked.join(weights, "gram").groupBy("bank_name", "item_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    if pairs is not None:
+        named = pairs.select("bank_id", "item_id").join(banks.select("bank_id", F.col("name").alias("bank_name")), "bank_id").join(item_names, "item_id").select("bank_name", "item_name").distinct()
+        asked_pairs = named.join(of_name, "item_name").select("bank_name", "item_id").join(asked, "bank_name")
+        met = asked_pairs.join(weights, ["item_id", "gram"])
+    else:
+        met = asked.join(weights, "gram")
+    dot = met.groupBy("bank_name", "item_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     near = dot.join(bank_length, "bank_name").join(item_length, "item_id").select("bank_name", "item_id", (F.col("dot") / (F.col("bank_length") * F.col("length"))).alias("name"))
     near = near.filter(F.round("name", 9) >= least).join(of_name, "item_id").select("bank_name", "item_name", "name")
-    pairs = near.join(item_names, "item_name").join(banks.select("bank_id", F.col("name").alias("bank_name")), "bank_name")
-    return pairs.groupBy("bank_id", "item_id").agg(F.max("name").alias("name"))
+    found = near.join(item_names, "item_name").join(banks.select("bank_id", F.col("name").alias("bank_name")), "bank_name")
+    return found.groupBy("bank_id", "item_id").agg(F.max("name").alias("name"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -132,10 +141,12 @@ def filename_route(banks: DataFrame, paths: DataFrame) -> DataFrame:
     return banks.filter("bank_amount > 0").select("bank_id", "bank_amount").join(first, "bank_amount").select("bank_id", "item_id", "part")
 
 
-def token_index(banks: DataFrame, items: DataFrame, amount_weight: int = 40, name_weight: int = 30, reference_weight: int = 100) -> DataFrame:
+def token_index(banks: DataFrame, items: DataFrame, amount_weight: int = 40, name_weight: int = 30, reference_weight: int = 100, truncated_weight: int = 20) -> DataFrame:
     """Candidates that share an amount, a reference or a name token, and their scores: (bank_id, item_id, score).
 
-    banks and items have (id, amount, refs, tokens). The keys of each kind are equi-joined apart; pairs meet once.
+    banks and items have (id, amount, refs, tokens), and perhaps currency, direction and party. The keys of each kind are
+    equi-joined apart; pairs meet once. Known currencies or directions that differ exclude a pair; a party whose last
+    word the bank cut short adds to a pair of equal amounts.
     """
     def keyed(rows: DataFrame, name: str, column: str) -> DataFrame:
         return rows.select(name, F.explode(column).alias("k")).distinct()
@@ -143,8 +154,22 @@ def token_index(banks: DataFrame, items: DataFrame, amount_weight: int = 40, nam
     def pairs(column: str, weight: int) -> DataFrame:
         return keyed(banks, "bank_id", column).join(keyed(items, "item_id", column), "k").select("bank_id", "item_id").distinct().withColumn("weight", F.lit(weight))
 
-    exact = banks.select("bank_id", "amount").join(items.select("item_id", "amount"), "amount").select("bank_id", "item_id", F.lit(amount_weight).alias("weight"))
-    return exact.unionByName(pairs("refs", reference_weight)).unionByName(pairs("tokens", name_weight)).groupBy("bank_id", "item_id").agg(F.sum("weight").cast("int").alias("score"))
+    facts = [c for c in ("currency", "direction", "party") if c in banks.columns and c in items.columns]
+    exact = banks.select("bank_id", "amount", *[F.col(c).alias(f"bank_{c}") for c in facts]).join(items.select("item_id", "amount", *facts), "amount")
+    weight = F.lit(amount_weight)
+    if "party" in facts:
+        weight = weight + F.when(T.truncated_name(F.col("bank_party"), F.col("party")), truncated_weight).otherwise(0)
+    exact = exact.select("bank_id", "item_id", weight.cast("int").alias("weight"))
+    found = exact.unionByName(pairs("refs", reference_weight)).unionByName(pairs("tokens", name_weight)).groupBy("bank_id", "item_id").agg(F.sum("weight").cast("int").alias("score"))
+    checks = [c for c in facts if c != "party"]
+    if not checks:
+        return found
+    both = found.join(banks.select("bank_id", *[F.col(c).alias(f"bank_{c}") for c in checks]), "bank_id").join(items.select("item_id", *checks), "item_id")
+    if "currency" in checks:
+        both = both.filter(currencies_agree(F.col("bank_currency"), F.col("currency")))
+    if "direction" in checks:
+        both = both.filter(unless_conflicting(F.nullif("bank_direction", F.lit("")), F.nullif("direction", F.lit(""))))
+    return both.select("bank_id", "item_id", "score")
 
 
 def shortlist(ranked: DataFrame, top: int = 5, most: int = 12, adaptive: bool = True) -> DataFrame:
@@ -183,27 +208,28 @@ def rank_candidates(banks: DataFrame, items: DataFrame, printed: DataFrame | Non
     Rows (bank_id, item_id, rank, route, name, gap, difference).
     """
     items = live(items)
-    agree = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
     facts_b = banks.select("bank_id", F.col("currency").alias("bank_currency"), F.col("dates").alias("bank_dates"))
     facts_i = items.select("item_id", F.col("currency").alias("item_currency"), F.col("dates").alias("item_dates"))
 
     def compatible(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(facts_b, "bank_id").join(facts_i, "item_id").filter(agree("bank_currency", "item_currency"))
+        both = pairs.join(facts_b, "bank_id").join(facts_i, "item_id").filter(currencies_agree(F.col("bank_currency"), F.col("item_currency")))
         return both.withColumn("gap", T.day_gap(F.col("bank_dates"), F.col("item_dates"))).drop("bank_currency", "item_currency", "bank_dates", "item_dates")
 
     amounts = tolerance_join(banks.select("bank_id", "bank_amount"), items.select("item_id", "amount"), "bank_amount", "amount").select("bank_id", "item_id", (F.col("bank_amount") - F.col("amount")).alias("difference"))
     refs = reference_route(banks, items).select("bank_id", "item_id", F.lit(True).alias("has_reference"))
     bank_names = banks.select("bank_id", F.explode(with_aliases(F.col("parties"))).alias("name"))
     item_names = items.select("item_id", F.array_join(with_aliases(F.col("parties")), " ").alias("name"))
-    names = name_route(bank_names, item_names, 0.0)
+    whole_documents = document_total_route(banks, items, printed)
+    # All names that are alike, and of the pairs that the other routes found, the likeness whatever it is.
+    others = amounts.select("bank_id", "item_id").unionByName(refs.select("bank_id", "item_id")).unionByName(whole_documents.select("bank_id", "item_id")).distinct()
+    names = name_route(bank_names, item_names).unionByName(name_route(bank_names, item_names, 0.0, others)).groupBy("bank_id", "item_id").agg(F.max("name").alias("name"))
     single = amounts.join(refs, ["bank_id", "item_id"], "full_outer").join(names, ["bank_id", "item_id"], "full_outer")
     single = single.withColumn("name", F.coalesce("name", F.lit(0.0))).withColumn("has_reference", F.coalesce("has_reference", F.lit(False)))
     strong = F.col("difference").isNotNull() | F.col("has_reference")
     single = compatible(single.filter(strong | (F.col("name") >= NAME_MATCH)))
     route = F.when(F.col("difference").isNotNull(), "amount").when(F.col("has_reference"), "reference").otherwise("name")
     single = single.select("bank_id", "item_id", F.col("item_id").alias("unit"), F.lit(0).alias("pos"), F.when(strong, 0).otherwise(2).alias("grp"), "has_reference", "name", "gap", "difference", route.alias("route"))
-    totals = document_total_route(banks, items, printed)
-    totals = totals.groupBy("bank_id", "document", "item_id").agg(F.first("difference").alias("difference"))
+    totals = whole_documents.groupBy("bank_id", "document", "item_id").agg(F.first("difference").alias("difference"))
     totals = compatible(totals).drop("gap").join(names, ["bank_id", "item_id"], "left")
     whole = Window.partitionBy("bank_id", "document")
     totals = totals.select("bank_id", "item_id", F.col("document").alias("unit"), F.row_number().over(whole.orderBy("item_id")).alias("pos"), F.lit(1).alias("grp"), F.lit(False).alias("has_reference"), F.coalesce(F.max("name").over(whole), F.lit(0.0)).alias("name"), F.lit(None).cast("int").alias("gap"), "difference", F.lit("document total").alias("route"))
@@ -218,6 +244,17 @@ def rank_candidates(banks: DataFrame, items: DataFrame, printed: DataFrame | Non
     return chosen.select("bank_id", "item_id", "rank", "route", "name", "gap", F.col("difference").cast("decimal(19,2)").alias("difference")).unionByName(shown)
 
 
+def search_audit(ranked: DataFrame, eligible: DataFrame, banks: DataFrame) -> DataFrame:
+    """Per bank line (bank_id, selected, eligible, omitted, search_incomplete), from chosen rows (bank_id, item_id, route) and
+    all eligible pairs (bank_id, item_id). What the file-name route adds counts as eligible too, and is never omitted."""
+    by_name = F.col("route") == "found by filename"
+    chosen = ranked.groupBy("bank_id").agg(F.count("*").alias("selected"), F.count_if(by_name).alias("by_name"), F.count_if(~by_name).alias("own"))
+    pool = eligible.select("bank_id", "item_id").distinct().groupBy("bank_id").agg(F.count("*").alias("pool"))
+    rows = banks.select("bank_id").join(chosen, "bank_id", "left").join(pool, "bank_id", "left").na.fill(0, ["selected", "by_name", "own", "pool"])
+    out = rows.select("bank_id", "selected", (F.col("pool") + F.col("by_name")).alias("eligible"), (F.col("pool") - F.col("own")).alias("omitted"))
+    return out.withColumn("search_incomplete", F.col("omitted") > 0)
+
+
 def retrieval_slots(rows: DataFrame, each: int = 20, most: int = 40, top_up: int = 10) -> DataFrame:
     """Of (bank_id, item_id, has_ref, name, amount, score, gap, conflict): all references, 20 names, 20 amounts, 40 in all; text up to 10."""
     order = [F.col("has_ref").desc(), F.col("score").desc(), F.coalesce("gap", F.lit(10**9)), F.col("item_id")]

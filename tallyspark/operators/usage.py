@@ -25,13 +25,17 @@ def usage_rollup(attempts: DataFrame, stage: str, model: str, counters: list[str
 
 
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, median, the value of rank (9 n + 9) // 10, and maximum."""
-    w = Window.partitionBy(group).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(group))
-    placed = rows.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w)).withColumn("n", n)
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col(value)))
+    """Mean, median, the value of rank (9 n + 9) // 10, and maximum.
+
+    Equal values are counted first, map-side; ranks are running sums of these counts, so a group's window holds its
+    distinct values only.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("k", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy(group)))
+    at = lambda k: F.min(F.when(F.col("k") >= k, F.col(value)))
     half = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    return placed.groupBy(group).agg(F.count("*").alias("n_calls"), F.avg(value).alias("mean"), ((at(half[0]) + at(half[1])) / 2).alias("median"), at(F.floor((9 * F.col("n") + 9) / 10)).alias("p90"), F.max(value).alias("max"))
+    return placed.groupBy(group).agg(F.max("n").alias("n_calls"), (F.sum(F.col(value) * F.col("m")) / F.sum("m")).alias("mean"), ((at(half[0]) + at(half[1])) / 2).alias("median"), at(F.floor((9 * F.col("n") + 9) / 10)).alias("p90"), F.max(value).alias("max"))
 
 
 def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int = 300) -> DataFrame:
@@ -41,7 +45,7 @@ def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int = 300) -> D
 
 
 def wall_span(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    return rows.groupBy(group).agg((F.max(end).cast("double") - F.min(start).cast("double")).alias("seconds"), F.count_if(F.col(end).isNull()).alias("open"))
+    return rows.groupBy(group).agg((F.max(end).cast("timestamp").cast("double") - F.min(start).cast("timestamp").cast("double")).alias("seconds"), F.count_if(F.col(end).isNull()).alias("open"))
 
 
 def cost(rows: DataFrame, group: str, tokens: str, price: str, surcharge_from: int, factor: float) -> DataFrame:

@@ -7,6 +7,7 @@ as rows (document, unit_no, text) or as positioned words (see statements.py).
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 UNITS = "path string, unit_no int, label string, text string, error string"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -27,10 +29,19 @@ def sheet_units(content: bytes) -> list[tuple[str, str]]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+        # A sheet's file is known by the workbook's relations, not by its number: sheets may have been moved.
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        sheets = []
+        for k, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")):
+            target = targets.get(s.get(f"{RELATION}id"))
+            file = posixpath.normpath(posixpath.join("/xl", target)).lstrip("/") if target else files[k] if k < len(files) else None
+            if file in z.namelist():
+                sheets.append((s.get("name"), file))
         out = []
-        for name, file in zip(names, files, strict=False):
+        for name, file in sheets:
             cells = []
             for c in ElementTree.fromstring(z.read(file)).iter(f"{MAIN}c"):
                 v = c.findtext(f"{MAIN}v")
