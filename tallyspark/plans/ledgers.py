@@ -80,16 +80,18 @@ def header_consistency(spark, sf_dir):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS line, regexp_extract(string_split(text, chr(10))[1], '^([^ ]+ [^ ]+)', 1) AS head FROM documents),
-r AS (SELECT doc_id, source, line, CASE WHEN doc_id % 2 = 0 THEN head ELSE '' END AS party FROM l),
+WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id * 100000 + unnest(range(1, len(lines) + 1)) AS row_id, doc_id, source, unnest(lines) AS line FROM s),
+r AS (SELECT row_id, source, line, line LIKE '%CHARGE%' OR regexp_matches(line, '\bFEE\b') AS fee, CASE WHEN doc_id % 2 = 0 THEN regexp_extract(line, '^([^ ]+ [^ ]+)', 1) ELSE '' END AS party FROM l),
 k AS (SELECT DISTINCT source, party AS known FROM r WHERE length(party) >= 6),
-f AS (SELECT doc_id, max(struct_pack(l := length(known), k := known)).k AS filled FROM r JOIN k USING (source) WHERE party = '' AND (starts_with(line, known || ' ') OR ends_with(line, ' ' || known)) GROUP BY doc_id)
-SELECT doc_id, coalesce(nullif(party, ''), filled) AS filled FROM r LEFT JOIN f USING (doc_id)
+f AS (SELECT row_id, max(struct_pack(l := length(known), k := known)).k AS filled FROM r JOIN k USING (source) WHERE party = '' AND NOT fee AND (starts_with(line, known || ' ') OR ends_with(line, ' ' || known)) GROUP BY row_id)
+SELECT row_id, coalesce(nullif(party, ''), filled) AS filled FROM r LEFT JOIN f USING (row_id)
 """)
 def payee_backfill(spark, sf_dir):
-    line = F.split("text", "\n")[0]
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", line.alias("line"), F.when(F.col("doc_id") % 2 == 0, F.regexp_extract(line, "^([^ ]+ [^ ]+)", 1)).otherwise("").alias("party"))
-    return plain(ledger.payee_backfill(rows, "source", "doc_id", "party", "line").select("doc_id", "filled"))
+    lines = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    party = F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("line", "^([^ ]+ [^ ]+)", 1)).otherwise("")
+    rows = lines.select((F.col("doc_id") * 100_000 + F.col("pos") + 1).alias("row_id"), "source", "line", party.alias("party"))
+    return plain(ledger.payee_backfill(rows, "source", "row_id", "party", "line", "line").select("row_id", "filled"))
 
 
 _CODE = "CASE l_returnflag WHEN 'A' THEN ' rm' WHEN 'N' THEN 'usd ' END"

@@ -195,12 +195,13 @@ def subset_sum_groups(spark, sf_dir):
     return plain(groups.exact_subsets(members).select("bank_id", F.array_join("items", "|").alias("items"), "total"))
 
 
-_TOP = "c AS (SELECT DISTINCT l_orderkey AS bank_id, l_partkey AS item_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 6)"
+#: Lines compete for pieces of the same amount.
+_TOP = "c AS (SELECT DISTINCT l_orderkey AS bank_id, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS item_id FROM lineitem)"
 
 
 def _choices(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity < 6")
-    return rows.select(F.col("l_orderkey").alias("bank_id"), F.col("l_partkey").alias("item_id"), F.lit(1).alias("rank")).distinct()
+    item = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bank_id"), item.alias("item_id"), F.lit(1).alias("rank")).distinct()
 
 
 @query(f"""
