@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import text_chunks
-from .shared import table
+from .shared import table, tidy, tidy_after
 
 VOCABULARY = "word_bpe_49k.json"
 CELLS = 1 << 20  # of the tables of transitions and of pairs
@@ -99,6 +99,9 @@ class Encoder:
         every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
         self.newer = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
         self.path, self.library = path, None
+        self.parts = self.rank = self.born = None  # the arrays have it all
+        del spec, model, names, text, every, pairs
+        tidy()
 
     def _automaton(self, tokens: dict[int, str]) -> None:
         """Aho-Corasick over the tokens: nodes of a trie, the longest proper suffix that is a node too, and the next token that ends there."""
@@ -184,7 +187,7 @@ class Encoder:
     def _unstable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """_stable, negated, for many pairs: each step undoes one merge of every pair that is still open."""
         out = np.zeros(len(a), bool)
-        at, before = np.arange(len(a)), np.full(len(a), len(self.born) + 1)
+        at, before = np.arange(len(a)), np.full(len(a), len(self.pairs) + 1)
         while len(at):
             key = a << 20 | b
             spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -372,6 +375,7 @@ def encoder(path: str | None = None) -> Encoder:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Rows (id_col, ids, decoded): the ids of every whole text, and the text that they decode to."""
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in batches:
@@ -388,6 +392,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Rows (id_col, n_tokens, ids_sha256, decoded_sha256), without moving ids between Python and the JVM."""
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         numbers = pa.array([f"{i} " for i in range(len(e.names))], pa.binary())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import text_chunks
-from .shared import table
+from .shared import table, tidy
 
 TRAIN_DOCUMENTS = 4000
 TRAIN_BYTES = 1 << 25  # of text that the sample has (about)
@@ -174,6 +174,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
         for _, own in text_chunks(pa.record_batch([texts], ["text"]), 0):
             for out, more in zip((names, scores, rejected), model.predict(own), strict=True):
                 out += more
+        tidy()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
     found = docs.select(F.col(id_col), *(keep or []), predicted(F.col(text_col)).alias("_found"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import star_components
-from .shared import drop, materialize, table
+from .shared import drop, materialize, table, tidy_after
 
 BANDS, ROWS = 32, 4
 MINIMA = 256  # all of them serve the estimate, the first BANDS * ROWS the buckets
@@ -140,6 +140,7 @@ def text_chunks(batch: pa.RecordBatch, column: int, chunk: int = CHUNK) -> Itera
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Rows (id, h, n, digest, bands, least): size and digest of each set, bucket keys, and the minima's low bytes."""
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_chunks(batch, 2):
@@ -187,6 +188,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
             spot = batch.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
             yield batch.filter(pa.array(bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1))
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in text_chunks(batch, 1):
@@ -207,6 +209,7 @@ def estimates(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sizes and minima allow a link."""
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -224,6 +227,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union on their full sets."""
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -359,10 +363,12 @@ def links_across(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, id_col:
     """Links (u, v) that unite all components which a link joins within some bucket; fewer than rows of blocks."""
     sketch = nodes.select("node", "n", "least", "bands")
 
+    @tidy_after
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_block(batches):
             yield from rows.filter(pa.array(Block(rows).with_partners())).combine_chunks().to_batches()
 
+    @tidy_after
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_block(batches):
             u, v = Block(rows).forest(rows.column("members").to_pylist(), percent)

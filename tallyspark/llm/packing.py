@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .bpe import STRETCH, encoder
 from .minhash import text_chunks
-from .shared import materialize, table
+from .shared import materialize, table, tidy_after
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -152,6 +152,7 @@ def plan_rows(plan: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_token: int, vocabulary: str | None, with_ids: bool) -> DataFrame:
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(vocabulary), TaskContext.get().partitionId()
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, table
+from .shared import drop, materialize, table, tidy_after
 
 #: Fixed values.
 KINDS = ["email", "ip", "card", "phone"]
@@ -157,6 +157,7 @@ def bitmap(names: DataFrame) -> bytes:
     """BITS bits with those at the places of the rows set, made inside a few tasks."""
     columns = names.columns
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS, bool)
         for batch in batches:
@@ -179,6 +180,7 @@ FOUND = "row long, id {id}, h long, kinds array<int>, starts array<long>, ends a
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -208,6 +210,7 @@ def word_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     flags = bitmap(terms)
     some = any(flags)
 
+    @tidy_after
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
@@ -225,6 +228,7 @@ def word_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
                 lists.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["h", "terms"])
 
+    @tidy_after
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
@@ -250,6 +254,7 @@ def entity_texts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFra
     """Rows (h, text, entities): each distinct text with any of the entities, once; a few other entities may come along."""
     flags = bitmap(entities)
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, texts, lists = [], [], []
@@ -274,6 +279,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
         for batch in batches:
@@ -314,6 +320,7 @@ def added_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     flagged = materialize(disclosing(docs, found, texts, entities, text_col), "flagged")
     flags = bitmap(flagged.select("entity", "term"))
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -370,6 +377,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = docs.columns
     at = names.index(text_col)
 
+    @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +39,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def tidy() -> None:
+    """Give back what a Python worker has freed: workers live on beside those of later stages, and freed memory would stay theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy_after(run: Callable) -> Callable:
+    """A function of batches that tidies up when its task ends."""
+
+    @functools.wraps(run)
+    def tidied(*args):
+        try:
+            yield from run(*args)
+        finally:
+            tidy()
+
+    return tidied
+
+
+def tidy_group(made: Callable) -> Callable:
+    """A function of one group that tidies up after it."""
+
+    def tidied(pdf):
+        try:
+            return made(pdf)
+        finally:
+            tidy()
+
+    return tidied
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs that nothing refers to any more."""
     gc.collect()
