@@ -38,7 +38,7 @@ from .shared import table, tidy, tidy_after
 
 VOCABULARY = "word_bpe_49k.json"
 CELLS = 1 << 20  # of the tables of transitions and of pairs
-STRETCH = 1 << 23  # bytes of text that are split and encoded together
+STRETCH = 1 << 22  # bytes of text that are split and encoded together
 #: ASCII marks of which any run is one word of the vocabulary's pattern (the apostrophe and the digits aren't among them).
 MARKS = re.escape('!"#$%&()*+,-./:;<=>?@[]^_`{|}~') + "\\\\"
 #: White_Space of Unicode, which the vocabulary's normaliser squeezes.
@@ -96,11 +96,14 @@ class Encoder:
         pairs = np.array([(a << 20 | b, r) for (a, b), r in self.born.items()], np.int64).reshape(-1, 2)
         self.pairs, self.pair_rank = pairs[np.argsort(pairs[:, 0])].T.copy()
         self.tried, self.held = np.full(CELLS, -1, np.int64), np.zeros(CELLS, bool)
-        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        self.newer = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+        newer: set[str] = set()
+        for a in range(0, 0x110000, 0x800):
+            if a != 0xD800:  # surrogates
+                newer.update(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(a, a + 0x800)))) if unicodedata.category(c) == "Cn")
+        self.newer = frozenset(newer)
         self.path, self.library = path, None
         self.parts = self.rank = self.born = None  # the arrays have it all
-        del spec, model, names, text, every, pairs
+        del spec, model, names, text, pairs
         tidy()
 
     def _automaton(self, tokens: dict[int, str]) -> None:
