@@ -423,3 +423,12 @@ def test_many_spans_take_time_in_proportion(spark):
     text = " ".join(f"word 10.{k >> 8 & 255}.{k & 255}.7 u{k}@m.example.com" for k in range(25_000))
     rows = pii.span_digests(documents(spark, [(1, text, "en")])).collect()
     assert (rows[0]["n_ip"], rows[0]["n_email"]) == (25_000, 25_000)
+
+
+def test_several_texts_of_one_id_are_judged_row_by_row(spark):
+    """A text that no other row has stays, though its id also stands on a copy."""
+    rows = [(1, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (2, "x y z u v w", "en"), (None, "a b c d e f g", "en"), (3, None, "en")]
+    docs = documents(spark, rows)
+    got = sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, shingle=2).collect() if r["doc_id"] == 2)
+    assert got == [(5, 2, True), (6, 1, False)]
+    assert {(r["doc_id"], r["text"]) for r in minhash.without_near_duplicates(docs, shingle=2).collect()} == {(i, t) for i, t, _ in rows} - {(2, "a b c d e f g")}
