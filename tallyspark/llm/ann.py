@@ -1,17 +1,19 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted in numpy on at most SAMPLE vectors; every vector is then indexed, that is sent down to its leaf.
-A query walks the tree through a priority queue, best bound on the inner product first, and lists the leaves in the
-order in which it would visit them. How many of them it does visit is calibrated: for a bounded number of queries
+A query walks the tree through a priority queue, best bin first, and lists the leaves in the order in which it would
+visit them; a bin is as good as the inner product that a vector WIDE standard deviations above its mean would have,
+by the bin's main axes. How many of them it does visit is calibrated: for a bounded number of queries
 the true neighbours are found by brute force over all vectors, and visits are widened until the recall of those
-queries reaches RECALL. Leaves and their queries meet in blocks of bounded size, so neither a full leaf nor a leaf
-that many queries visit makes a large task.
+queries reaches RECALL. Leaves and their queries meet in blocks of bounded size, cut by how full each leaf is and by
+how many queries visit it, so neither makes a large task.
 
 Equal vectors are one point of the index with its k + 1 smallest ids, and equal queries are searched once, so a
 vector that a third of the rows hold costs no more than another. Scores are computed anew in double precision from
 the original vectors.
 
-Defined results: vectors that are null, empty, zero, of another length than most in the sample, or that hold null or
+Defined results: vectors that are null, empty, zero, of another length than most
+vectors have, or that hold null or
 non-finite components take no part, nor do rows with a null id; equal rows count once; a query never finds its own
 id; ties go to the smaller id; fewer than k candidates give fewer rows; no vectors give no rows. Other columns aren't
 read.
@@ -34,17 +36,21 @@ from pyspark.sql.window import Window
 from .shared import materialize, table
 
 SAMPLE = 20_000
+SAMPLE_BYTES = 1 << 28
 CALIBRATION = 256
 RECALL = 0.96
 BRANCH = 8
 MOST_LEAVES = 4096
 BLOCK = 4096
+AXES = 8
+WIDE = 3.0
 
 
 @dataclass
 class Tree:
     centers: np.ndarray
-    radius: np.ndarray
+    axes: np.ndarray  # of each node, its main axes, each as long as the standard deviation along it
+    rest: np.ndarray  # standard deviation in any other direction
     children: list[list[int]]  # empty: a leaf
     leaf: np.ndarray  # number of the leaf, or -1
 
@@ -66,17 +72,20 @@ class Tree:
 
     def visits(self, q: np.ndarray, most: int) -> np.ndarray:
         """For each query, its first `most` leaves, best bin first."""
-        bound = -(q @ self.centers.T + np.linalg.norm(q, axis=1)[:, None] * self.radius)
         out = np.empty((len(q), most), np.int32)
-        for k, row in enumerate(bound):
-            queue, n = [(0.0, 0)], 0
-            while n < most:
-                _, node = heapq.heappop(queue)
-                if self.leaf[node] >= 0:
-                    out[k, n] = self.leaf[node]
-                    n += 1
-                for child in self.children[node]:
-                    heapq.heappush(queue, (row[child], child))
+        for a in range(0, len(q), 128):
+            own = q[a : a + 128]
+            along = np.square(own @ self.axes.reshape(-1, own.shape[1]).T).reshape(len(own), len(self.centers), -1).sum(axis=2)
+            spread = np.sqrt(along + np.square(own).sum(axis=1)[:, None] * self.rest**2)
+            for k, row in enumerate((-(own @ self.centers.T + WIDE * spread)).tolist(), a):
+                queue, n = [(0.0, 0)], 0
+                while n < most:
+                    _, node = heapq.heappop(queue)
+                    if self.leaf[node] >= 0:
+                        out[k, n] = self.leaf[node]
+                        n += 1
+                    for child in self.children[node]:
+                        heapq.heappush(queue, (row[child], child))
         return out
 
 
@@ -92,16 +101,31 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
 
 
+def main_axes(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The AXES main axes of centred vectors, scaled by their standard deviations, and the deviation in any other direction."""
+    n, size = y.shape
+    if n >= size:
+        values, vectors = np.linalg.eigh(y.T @ y / n)
+        axes = (vectors * np.sqrt(np.maximum(values, 0))).T[::-1][:AXES]
+    else:
+        axes = (np.linalg.eigh(y @ y.T)[1].T @ y)[::-1][:AXES] / np.sqrt(n)
+    out = np.zeros((AXES, size))
+    out[: len(axes)] = axes
+    left = np.square(y).sum() / n - np.square(out).sum()
+    return out, float(np.sqrt(max(left, 0.0) / size))
+
+
 def fit_tree(x: np.ndarray, leaves: int, seed: int = 3) -> Tree:
     rng = np.random.default_rng(seed)
-    centers, radius, children, leaf, n = [], [], [], [], 0
+    centers, axes, rest, children, leaf, n = [], [], [], [], [], 0
 
     def grow(rows: np.ndarray, most: int) -> int:
         nonlocal n
         node = len(centers)
         center = x[rows].mean(axis=0)
         centers.append(center)
-        radius.append(float(np.sqrt(((x[rows] - center) ** 2).sum(axis=1).mean())))
+        for column, value in zip((axes, rest), main_axes(x[rows] - center), strict=True):
+            column.append(value)
         children.append([])
         leaf.append(-1)
         if most > 1 and len(rows) >= 2 * BRANCH:
@@ -115,7 +139,7 @@ def fit_tree(x: np.ndarray, leaves: int, seed: int = 3) -> Tree:
         return node
 
     grow(np.arange(len(x)), leaves)
-    return Tree(np.array(centers), np.array(radius), children, np.array(leaf))
+    return Tree(np.array(centers), np.array(axes), np.array(rest), children, np.array(leaf))
 
 
 def is_usable(v: Column) -> Column:
@@ -188,21 +212,22 @@ def widened(tree: Tree, queries: list[tuple[int, bytes]], truth: dict[int, list[
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k largest inner products found for each query."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.coalesce(is_query, F.lit(False)).alias("ask")).filter(F.col("id").isNotNull() & is_usable(F.col("e")))
-    sizes = rows.select(F.size("e").alias("n")).limit(SAMPLE).groupBy("n").count().collect()
+    sizes = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
         return empty
-    size = max(sizes, key=lambda r: (r["count"], r["n"]))["n"]
+    size = sizes[0]["n"]
     rows = rows.filter(F.size("e") == size)
 
     few = F.row_number().over(Window.partitionBy("e").orderBy("id")) <= k + 1  # limited before the shuffle
     index = materialize(packed(rows.select("id", "e").distinct().withColumn("few", few).filter("few").select("id", "e"), size), "points")
     n = index.count()
-    share = int(min(1.0, SAMPLE / n) * (1 << 30))
-    sample = index.filter(F.pmod(F.xxhash64(F.lit("tree"), "id"), F.lit(1 << 30)) < share).limit(SAMPLE).collect()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))
+    share = int(min(1.0, most / n) * (1 << 30))
+    sample = index.filter(F.pmod(F.xxhash64(F.lit("tree"), "id"), F.lit(1 << 30)) < share).limit(most).collect()
     sample = sample or index.limit(1).collect()
     x = np.frombuffer(b"".join(r["v"] for r in sorted(sample)), np.float64).reshape(-1, size)
-    tree = fit_tree(x, int(min(MOST_LEAVES, max(1, round(n**0.5)))))
+    tree = fit_tree(x, int(min(MOST_LEAVES, max(1, round(3 * n**0.5)))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,25 +246,24 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     trial = trial or [(r["id"], bytes(r["v"])) for r in queries.limit(1).collect()]
     visits = widened(tree, trial, brute_force(points, trial, size, k), size, recall)
 
-    filled = Counter({r["leaf"]: r["count"] for r in points.groupBy("leaf").count().collect()})  # one row a leaf
-    parts = np.array([max(1, -(-filled[leaf] // BLOCK)) for leaf in range(tree.leaves)])
-    q_parts = max(1, -(-asking * visits // tree.leaves // BLOCK))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = tree.visits(as_matrix(batch.column(1), size), visits)
-            per = parts[order]
-            of = np.repeat(np.arange(batch.num_rows), per.sum(axis=1))
-            leaf = np.repeat(order.reshape(-1), per.reshape(-1))
-            part = np.arange(len(leaf)) - np.repeat(np.cumsum(per.reshape(-1)) - per.reshape(-1), per.reshape(-1))
-            take = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], ["leaf", "part", "id", "v"])
-
-    most = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("leaf") + 1)
-    blocks = points.withColumn("part", F.pmod(F.xxhash64("id"), most).cast("int")).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    asks = queries.mapInArrow(ask, "leaf int, part int, id long, v binary").withColumn("q_part", F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int"))
+            if batch.num_rows:
+                leaves = tree.visits(as_matrix(batch.column(1), size), visits)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], ["id", "v", "leaves"])
+
+    ordered = materialize(queries.mapInArrow(order, "id long, v binary, leaves array<int>"), "visits")
+
+    def blocks_of(leaves: DataFrame) -> list[int]:
+        """For each leaf, how many blocks its rows fill."""
+        filled = Counter({r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()})  # one row a leaf
+        return [max(1, -(-filled[leaf] // BLOCK)) for leaf in range(tree.leaves)]
+
+    parts, q_parts = (F.element_at(F.lit(blocks_of(leaves)), F.col("leaf") + 1) for leaves in (points.select("leaf"), ordered.select(F.explode("leaves").alias("leaf"))))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks = points.withColumn("part", dealt(parts)).withColumn("q_part", every(q_parts))
+    asks = ordered.select("id", "v", F.explode("leaves").alias("leaf")).withColumn("q_part", dealt(q_parts)).withColumn("part", every(parts))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
