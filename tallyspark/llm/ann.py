@@ -5,8 +5,9 @@ A query walks the tree through a priority queue, best bin first, and lists the l
 visit them; a bin is as good as the inner product that a vector WIDE standard deviations above its mean would have,
 by the bin's main axes. How many of them it does visit is calibrated: for a bounded number of queries
 the true neighbours are found by brute force over all vectors, and visits are widened until the recall of those
-queries reaches RECALL. Leaves and their queries meet in blocks of bounded size, cut by how full each leaf is and by
-how many queries visit it, so neither makes a large task.
+queries reaches RECALL. Neighbouring leaves make up shards of bounded size, and a leaf that is larger is cut over
+several; a query goes once to each shard that has some of its leaves, with the list of these, and meets the vectors of
+these leaves only. The queries of a shard are cut into blocks too, so no leaf makes a large task.
 
 Equal vectors are one point of the index with its k + 1 smallest ids, and equal queries are searched once, so a
 vector that a third of the rows hold costs no more than another. Scores are computed anew in double precision from
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, table
+from .shared import materialize, shuffle_partitions, table
 
 SAMPLE = 20_000
 SAMPLE_BYTES = 1 << 28
@@ -41,7 +42,9 @@ CALIBRATION = 256
 RECALL = 0.96
 BRANCH = 8
 MOST_LEAVES = 4096
+SHARD = 65_536
 BLOCK = 4096
+ASK_BYTES = 1 << 25
 AXES = 8
 WIDE = 3.0
 
@@ -163,12 +166,15 @@ def packed(index: DataFrame, size: int) -> DataFrame:
 
 
 def best(scores: np.ndarray, x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query, scored anew in double precision; ties to the smaller id."""
+    """The k best of one query, scored anew in double precision; ties to the smaller id. Scores of -inf don't count."""
+    met = np.flatnonzero(scores > -np.inf)
+    scores = scores[met]
     if len(scores) > k:
         at = np.argpartition(-scores, k - 1)[:k]
         at = np.flatnonzero(scores >= scores[at].min() - 1e-9 * (1 + abs(scores[at].min())))
     else:
         at = np.arange(len(scores))
+    at = met[at]
     exact = (x[at] * q).sum(axis=1)
     order = np.lexsort((ids[at], -exact))[:k]
     return ids[at][order], exact[order]
@@ -209,6 +215,20 @@ def widened(tree: Tree, queries: list[tuple[int, bytes]], truth: dict[int, list[
     return visits
 
 
+def shards_of(filled: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf, its first shard and over how many it is cut: neighbours share one of up to `most` vectors."""
+    first, parts, shard, held = [], [], 0, 0
+    for n in filled:
+        if held and held + n > most:
+            shard, held = shard + 1, 0
+        first.append(shard)
+        parts.append(max(1, -(-n // most)))
+        held += n
+        if parts[-1] > 1:
+            shard, held = shard + parts[-1], 0
+    return np.array(first), np.array(parts)
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k largest inner products found for each query."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.coalesce(is_query, F.lit(False)).alias("ask")).filter(F.col("id").isNotNull() & is_usable(F.col("e")))
@@ -246,40 +266,59 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     trial = trial or [(r["id"], bytes(r["v"])) for r in queries.limit(1).collect()]
     visits = widened(tree, trial, brute_force(points, trial, size, k), size, recall)
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                leaves = tree.visits(as_matrix(batch.column(1), size), visits)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], ["id", "v", "leaves"])
-
-    ordered = materialize(queries.mapInArrow(order, "id long, v binary, leaves array<int>"), "visits")
-
-    def blocks_of(leaves: DataFrame) -> list[int]:
-        """For each leaf, how many blocks its rows fill."""
-        filled = Counter({r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()})  # one row a leaf
-        return [max(1, -(-filled[leaf] // BLOCK)) for leaf in range(tree.leaves)]
+    filled = Counter({r["leaf"]: r["count"] for r in points.groupBy("leaf").count().collect()})  # one row a leaf
+    first, parts = shards_of([filled[leaf] for leaf in range(tree.leaves)], min(SHARD, -(-n // shuffle_partitions(vectors.sparkSession))))
 
-    parts, q_parts = (F.element_at(F.lit(blocks_of(leaves)), F.col("leaf") + 1) for leaves in (points.select("leaf"), ordered.select(F.explode("leaves").alias("leaf"))))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, ASK_BYTES // (visits * 8 * size))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                own = batch.slice(a, step)
+                order = tree.visits(as_matrix(own.column(1), size), visits).reshape(-1)
+                per = parts[order]
+                of, leaf = np.repeat(np.arange(len(order)) // visits, per), np.repeat(order, per)
+                shard = first[leaf] + np.arange(len(leaf)) - np.repeat(np.cumsum(per) - per, per)
+                by = np.lexsort((shard, of))
+                of, leaf, shard = of[by], leaf[by].astype(np.int32), shard[by]
+                heads = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (shard[1:] != shard[:-1])]))
+                leaves = [leaf[i:j].tobytes() for i, j in zip(heads, np.append(heads[1:], len(leaf)), strict=True)]
+                take = pa.array(of[heads], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(shard[heads], pa.int32()), own.column(0).take(take), own.column(1).take(take), pa.array(leaves, pa.binary())], ["shard", "id", "v", "leaves"])
+
+    asks = materialize(queries.mapInArrow(ask, "shard int, id long, v binary, leaves binary"), "asks")
+    asked_of = Counter({r["shard"]: r["count"] for r in asks.groupBy("shard").count().collect()})  # one row a shard
+    q_parts = F.element_at(F.lit([max(1, -(-asked_of[k] // BLOCK)) for k in range(int((first + parts).max()))]), F.col("shard") + 1)
     dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    blocks = points.withColumn("part", dealt(parts)).withColumn("q_part", every(q_parts))
-    asks = ordered.select("id", "v", F.explode("leaves").alias("leaf")).withColumn("q_part", dealt(q_parts)).withColumn("part", every(parts))
+    of_leaf = lambda values: F.element_at(F.lit(values.tolist()), F.col("leaf") + 1)
+    blocks = points.withColumn("shard", of_leaf(first) + dealt(of_leaf(parts))).withColumn("q_part", F.explode(F.sequence(F.lit(0), q_parts - 1)))
+    asks = asks.withColumn("q_part", dealt(q_parts))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
+            left = left.sort_values("leaf")
             x, q = (np.frombuffer(b"".join(p["v"]), np.float64).reshape(-1, size) for p in (left, right))
-            ids = left["id"].to_numpy()
-            for a in range(0, len(q), 512):
-                scores = q[a : a + 512] @ x.T
-                for row, one, query in zip(scores, q[a : a + 512], right["id"].iloc[a : a + 512], strict=True):
+            ids, leaf = left["id"].to_numpy(), left["leaf"].to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+            ends = np.append(heads[1:], len(leaf))
+            for a in range(0, len(q), 128):
+                own = right.iloc[a : a + 128]
+                wanted = np.frombuffer(b"".join(own["leaves"]), np.int32)
+                of = np.repeat(np.arange(len(own)), own["leaves"].str.len().to_numpy() // 4)
+                by = np.argsort(wanted, kind="stable")
+                wanted, of = wanted[by], of[by]
+                scores = np.full((len(own), len(x)), -np.inf)
+                for i, j, some in zip(heads, ends, leaf[heads], strict=True):
+                    asking = of[np.searchsorted(wanted, some) : np.searchsorted(wanted, some, "right")]
+                    scores[asking, i:j] = q[a + asking] @ x[i:j].T
+                for row, one, query in zip(scores, q[a : a + 128], own["id"], strict=True):
                     found, exact = best(row, x, one, ids, k + 1)
                     out.append((query, found.tobytes(), exact.tobytes()))
         return pd.DataFrame(out, columns=["q", "ids", "scores"])
 
-    keys = ["leaf", "part", "q_part"]
+    keys = ["shard", "q_part"]
     found = blocks.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(search, "q long, ids binary, scores binary")
-    found = found.groupBy("q").agg(F.collect_list(F.struct("ids", "scores")).alias("lists"))  # as many as leaves visited
+    found = found.groupBy("q").agg(F.collect_list(F.struct("ids", "scores")).alias("lists"))  # one a shard, of k + 1 at most
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

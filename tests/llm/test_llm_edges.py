@@ -270,6 +270,23 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).collect() == []
 
 
+def test_full_leaves_are_cut_and_other_columns_are_not_read(spark, monkeypatch):
+    for name in ("SHARD", "BLOCK", "ASK_BYTES"):
+        monkeypatch.setattr(ann, name, 7)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 4)), np.tile(rng.normal(size=4), (50, 1))])
+    rows = [(k, v.tolist(), k, "x", 1) for k, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + rows[:20], "vec_id long, embedding array<double>, id long, leaf string, shard int")
+    got = ann.nearest(vectors, F.col("vec_id") % 10 == 0, k=5, recall=1.01).toPandas()  # every leaf is visited
+    assert len(got) == 20 * 5
+    for q, own in got.groupby("query_id"):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        assert own.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(200), -np.round(exact, 12)))[:5].tolist()
+    first, parts = ann.shards_of([3, 4, 1, 20, 0, 2], 7)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1]
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [
