@@ -32,36 +32,64 @@ def upsert_best(target: str, attempt: str, reported: Column, finished: Column, o
     """A foreachBatch step that keeps the best event of each attempt in a table in the folder `target`.
 
     Attempts are spread over shards. A batch reads and rewrites only the shards that it touches, each into a folder of
-    the batch's number; the newest folder of a shard counts, so a batch that is repeated after a failure changes
-    nothing. Readers use best_table().
+    the batch's number. A list of the newest folder of each shard is written last, so work doesn't grow with the number
+    of batches, and a batch that is repeated after a failure starts from the list before it and changes nothing.
+    Readers use best_table(). Folders that no list names any more are left for the reader's retention to remove.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        shard = F.pmod(F.xxhash64(attempt), F.lit(shards)).cast("int")
-        fresh = batch.withColumn("shard", shard)
-        before = best_table(spark, target, before=number)
-        touched = fresh.select("shard").distinct()
-        old = before.join(touched, "shard", "left_semi") if before is not None else fresh.limit(0)
-        both = fresh.unionByName(old.select(*fresh.columns))
+        fresh = batch.withColumn("shard", F.pmod(F.xxhash64(attempt), F.lit(shards)).cast("int"))
+        newest = newest_batches(spark, target, before=number)
+        touched = {r["shard"] for r in fresh.select("shard").distinct().collect()}  # a row a shard
+        old = shard_rows(spark, target, {k: n for k, n in newest.items() if k in touched})
+        both = fresh.unionByName(old.select(*fresh.columns)) if old is not None else fresh
         best = best_attempts(both, attempt, reported, finished, order)
         best.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{target}/batch={number}")
+        listed = newest | dict.fromkeys(touched, number)
+        spark.createDataFrame(list(listed.items()), "shard int, number long").coalesce(1).write.mode("overwrite").parquet(f"{target}/{LISTS}/batch={number}")
+        for earlier in sorted(n for n in lists(spark, target) if n < number)[:-1]:  # the last one serves a repeat
+            folder(spark, f"{target}/{LISTS}/batch={earlier}", delete=True)
 
     return step
 
 
+LISTS = "_newest"
+
+
+def folder(spark: SparkSession, path: str, delete: bool = False) -> list[str]:
+    """The names in a folder, none if there is no such folder; with delete, the folder goes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    if delete:
+        fs.delete(where, True)
+    return names
+
+
+def lists(spark: SparkSession, target: str) -> list[int]:
+    """The batches that have a list; one that was not written whole doesn't count."""
+    names = [n for n in folder(spark, f"{target}/{LISTS}") if n.startswith("batch=")]
+    return [int(n.removeprefix("batch=")) for n in names if "_SUCCESS" in folder(spark, f"{target}/{LISTS}/{n}")]
+
+
+def newest_batches(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """For each shard, the batch that wrote it last, of batches before the given one."""
+    numbers = [n for n in lists(spark, target) if before is None or n < before]
+    if not numbers:
+        return {}
+    rows = spark.read.schema("shard int, number long").parquet(f"{target}/{LISTS}/batch={max(numbers)}")
+    return {r["shard"]: r["number"] for r in rows.collect()}  # a row a shard
+
+
+def shard_rows(spark: SparkSession, target: str, newest: dict[int, int]) -> DataFrame | None:
+    paths = [f"{target}/batch={number}/shard={shard}" for shard, number in newest.items()]
+    return spark.read.option("basePath", target).parquet(*paths).drop("batch") if paths else None
+
+
 def best_table(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """The newest rows of every shard, of batches before the given one."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root) or not any(s.isDirectory() for s in fs.listStatus(root)):
-        return None
-    rows = spark.read.option("basePath", target).parquet(target)
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    newest = rows.groupBy("shard").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["shard", "batch"], "left_semi").drop("batch")
+    return shard_rows(spark, target, newest_batches(spark, target, before))
 
 
 def keep_best(events: DataFrame, target: str, checkpoint: str, attempt: str, reported: Column, finished: Column, order: list[str]) -> DataStreamWriter:

@@ -82,3 +82,11 @@ def test_stream_keeps_the_best_event(spark, tmp_path):
     feed("1.json", [("a", 1, "finished", 5), ("b", 1, "started", None)])
     feed("2.json", [("a", 2, "started", None), ("b", 2, "finished", None)])
     assert {r["id"]: r["seq"] for r in stream.best_table(spark, target).collect()} == {"a": 1, "b": 2}
+    feed("3.json", [("c", 1, "finished", 1), ("b", 3, "finished", 2)])
+    table = {"a": 1, "b": 3, "c": 1}
+    assert {r["id"]: r["seq"] for r in stream.best_table(spark, target).collect()} == table
+    assert sorted(stream.lists(spark, target)) == [1, 2]  # the last two only
+    again = spark.createDataFrame([("c", 1, "finished", 1), ("b", 3, "finished", 2)], schema)
+    stream.upsert_best(target, "id", F.col("tokens").isNotNull(), F.col("status") == "finished", ["seq"])(again, 2)
+    assert {r["id"]: r["seq"] for r in stream.best_table(spark, target).collect()} == table
+    assert stream.best_table(spark, target, before=2).count() == 2
