@@ -318,3 +318,23 @@ def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], total: int
     rest = marked.filter(F.col("_place") > F.coalesce(F.try_element_at(wanted, F.col(stratum)), F.lit(0)))
     both = first.withColumn("_turn", F.lit(0)).unionByName(rest.withColumn("_turn", F.lit(1)))  # at most strata x total rows
     return both.orderBy("_turn", order).limit(total).drop("_place", "_turn")
+
+
+def opening_balances(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """(source, opening, n_rows, printed_rows, agrees): the balance before the first row of (source, sequence, money_in,
+    money_out, balance), and whether there are as many rows as (source, printed_rows) says. No printed number: no verdict."""
+    zero = F.lit(0).cast(MONEY)
+    before = F.col("balance") - F.coalesce("money_in", zero) + F.coalesce("money_out", zero)
+    found = rows.groupBy("source").agg(F.min_by(before, "sequence").alias("opening"), F.count("*").alias("n_rows"))
+    return found.join(printed, "source", "left").withColumn("agrees", F.col("n_rows") == F.col("printed_rows"))
+
+
+def approved_originals(allocations: DataFrame, originals: DataFrame) -> DataFrame:
+    """(bank_id, document, path) of approved allocations, once each; a document may stand in the folders of several lines."""
+    return allocations.filter("approved").select("bank_id", "document").distinct().join(originals, "document").select("bank_id", "document", "path")
+
+
+def extraction_coverage(units: DataFrame) -> DataFrame:
+    """(document, units, unread, complete): complete if every unit of the document was read."""
+    was_read = F.coalesce(F.col("was_read"), F.lit(False))
+    return units.groupBy("document").agg(F.count("*").alias("units"), F.count_if(~was_read).alias("unread"), F.bool_and(was_read).alias("complete"))

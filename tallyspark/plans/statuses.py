@@ -333,3 +333,26 @@ def stratified_cases(spark, sf_dir):
 def bank_summary(spark, sf_dir):
     matched = F.col("status") == "F"
     return plain(bank_lines(spark, sf_dir).groupBy("account").agg(F.count("*").alias("lines"), F.count_if(matched).alias("matched"), F.bool_and(matched).alias("complete")))
+
+
+@query(f"""
+WITH b AS ({BANKS}), r AS (SELECT account, min_by(2 * bank_amount - CASE WHEN status = 'F' THEN bank_amount ELSE 0 END + CASE WHEN status = 'F' THEN 0 ELSE bank_amount END, bank_id) AS opening, count(*) AS n FROM b GROUP BY account)
+SELECT account AS source, CAST(opening AS DOUBLE) AS opening, n AS n_rows, CASE WHEN account % 5 > 0 THEN account % 20 END AS printed_rows, n = CASE WHEN account % 5 > 0 THEN account % 20 END AS agrees FROM r
+""")
+def opening_balances(spark, sf_dir):
+    b = bank_lines(spark, sf_dir).withColumnRenamed("account", "source")
+    money_in, money_out = (F.when(c, F.col("bank_amount")) for c in (F.col("status") == "F", F.col("status") != "F"))
+    rows = b.select("source", F.col("bank_id").alias("sequence"), money_in.alias("money_in"), money_out.alias("money_out"), (F.col("bank_amount") * 2).cast("decimal(18,2)").alias("balance"))
+    printed = b.select("source", (F.col("source") % 20).alias("printed_rows")).filter("source % 5 > 0").distinct()
+    return plain(reviews.opening_balances(rows, printed))
+
+
+@query("SELECT DISTINCT l_orderkey AS bank_id, l_partkey AS document, p_name AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A'")
+def approved_originals(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bank_id"), F.col("l_partkey").alias("document"), (F.col("l_returnflag") == "A").alias("approved"))
+    return plain(reviews.approved_originals(rows, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.col("p_name").alias("path"))))
+
+
+@query("SELECT l_orderkey AS document, count(*) AS units, count(*) FILTER (l_linestatus <> 'F') AS unread, bool_and(l_linestatus = 'F') AS complete FROM lineitem GROUP BY l_orderkey")
+def extraction_coverage(spark, sf_dir):
+    return plain(reviews.extraction_coverage(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_linestatus") == "F").alias("was_read"))))
