@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import star_components
@@ -331,14 +331,14 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def blocks_of(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Rows (g, side, key, node, root, n, least, bands): the members of buckets (key) that hold several components (root), by block.
+def dealt_blocks(labelled: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Rows (g, side, key, node, root): the members (key, node, root, ...) of buckets that hold several components (root), by block.
 
     A component with more than BLOCK members in a bucket has blocks of its own, which meet those of other components
     only; all small ones share blocks that meet each other too. So members of one large component, however many,
-    are sent once for each block of others.
+    are sent once for each block of others. A member counts `weight` times, once if there is none.
     """
-    size = labelled.groupBy("key", "root").count()
+    size = labelled.groupBy("key", "root").agg((F.count("*") if weight is None else F.sum(weight)).alias("count"))
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
     large = F.when(F.col("count") > BLOCK, F.struct("root", parts.alias("parts")))
     small = F.sum(F.when(F.col("count") <= BLOCK, F.col("count")).otherwise(0))
@@ -352,8 +352,12 @@ def blocks_of(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
     all_ = F.concat(F.flatten(F.transform("large", lambda b: F.transform(upto(b["parts"]), lambda p: block(b["root"], p)))), F.transform(upto(F.col("rest")), lambda p: block(F.lit(-1), p)))
     met = rows.withColumn("other", F.explode(F.filter(all_, lambda o: (o["root"] < 0) | (o["root"] != F.col("own.root")))))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"), "key", "node", "root")
-    return met.join(sketch, "node").select("g", "side", "key", "node", "root", "n", "least", "bands")
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"), "key", "node", "root")
+
+
+def blocks_of(labelled: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows (g, side, key, node, root, n, least, bands): the members of each block with what is compared first."""
+    return dealt_blocks(labelled).join(sketch, "node").select("g", "side", "key", "node", "root", "n", "least", "bands")
 
 
 BLOCK_ROWS = "g long, side int, key long, node long, root long, n long, least binary, bands array<long>"
