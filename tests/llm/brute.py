@@ -1,8 +1,10 @@
 """Plain versions of the operators, for small inputs."""
 
+import collections
 import hashlib
 import itertools
 import re
+import zlib
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -82,3 +84,52 @@ def base_spans(text):
             if ok:
                 out.append((kind, m.start(), m.end()))
     return out
+
+
+def hard_negatives(rows, is_anchor, k=5, percent=80):
+    """Sorted (anchor, positive, rank, negative, positive score, negative score) of (id, label, whole numbers)."""
+    out = []
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for i, label, v in rows:
+        if not is_anchor(i):
+            continue
+        near = sorted((-score(v, w), j, other) for j, other, w in rows if j != i)
+        for p, j in [(-s, j) for s, j, other in near if other == label][:k]:
+            inside = [(-s, n) for s, n, other in near if other != label and percent * p <= -100 * s <= 100 * p]
+            out += [(i, j, rank, n, p, s) for rank, (s, n) in enumerate(inside[:k], 1)]
+    return sorted(out)
+
+
+def one_edit_apart(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def spelling(counts, ratio=10):
+    """{word: (form, root, n, n_near, form_n)}"""
+    forms, near = {}, {w: [v for v in counts if v != w and one_edit_apart(v, w)] for w in counts}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        forms[w] = best if best and counts[best] >= ratio * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out[w] = forms[w], root, counts[w], len(near[w]), counts.get(forms[w])
+    return out
+
+
+def counted_words(docs, least=7, often=2, one_in=31):
+    counts = collections.Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= least and n >= often}
