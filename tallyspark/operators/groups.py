@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cut import checkpointed
+
 MOST_MEMBERS = 12
 BATCH_LINES = 20
 SHARD_UNITS = 5000
@@ -40,22 +42,15 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "bank_id", rounds
 
     Each round's table is checkpointed, so that plans stay short and executors may be lost.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-components-"))
     a, b = edges.columns
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u != v").distinct().checkpoint()
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u != v").distinct()
+    both = checkpointed(both)
     labels = nodes.select(F.col(node).alias("u"), F.col(node).alias("c"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         low = labels.join(near, "u", "left").select("u", "c", F.least("c", "near").alias("low"))
         jump = low.select(F.col("u").alias("low"), F.col("low").alias("jump"))
-        after = low.join(jump, "low", "left").select("u", F.col("c").alias("old"), F.least("low", "jump").alias("c")).checkpoint()
+        after = checkpointed(low.join(jump, "low", "left").select("u", F.col("c").alias("old"), F.least("low", "jump").alias("c")))
         labels = after.select("u", "c")
         if not after.filter("old != c").limit(1).count():
             return labels.select(F.col("u").alias(node), F.col("c").alias("component"))

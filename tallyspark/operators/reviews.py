@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import MONEY, normalize_currency
+from .cut import checkpointed
 
 DEFAULT_CURRENCY = "MYR"
 PROBLEMS_SHOWN = 100
@@ -101,14 +102,17 @@ def decision_staleness(banks: DataFrame, decisions: DataFrame, allocations: Data
 
 
 def global_number(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """One-based number in the order of a distinct column: numbers inside ranges plus the counts of the ranges before."""
-    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
+    """One-based number in the order of a distinct column: numbers inside ranges plus the counts of the ranges before.
+
+    The sorted ranges are written once, with the number of the range and the place in it, so that counts and rows are
+    of the same ranges.
+    """
+    dealt = checkpointed(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = dealt.groupBy(part.alias("_part")).count()  # one row a range
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_before"))
-    numbered = dealt.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return numbered.join(starts, "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_before", "_n", "_id")
+    return dealt.withColumn("_part", part).withColumn(name, place).join(starts, "_part").withColumn(name, F.col(name) + F.col("_before") + 1).drop("_part", "_before", "_id")
 
 
 def review_optional(level: Column, stale: Column, live: Column, saved: Column) -> Column:

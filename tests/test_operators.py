@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyspark.operators import duplicates, groups, joins, ledger, proposals, routes, scoring, usage
+from tallyspark.operators import duplicates, groups, joins, ledger, proposals, reviews, routes, scoring, usage
 
 MONEY = "decimal(18,2)"
 BANK = f"bank_id string, bank_amount {MONEY}, currency string, dates array<date>, parties array<string>, refs array<string>"
@@ -199,3 +199,24 @@ def test_folder_rollup(spark):
 @pytest.mark.parametrize("operator", [lambda d: duplicates.duplicate_groups(d, "k", "t"), lambda d: duplicates.duplicate_summary(d, "k", "t"), lambda d: duplicates.inventory(d, "k", "t")])
 def test_empty_tables(spark, operator):
     operator(spark.createDataFrame([], "k string, t string")).collect()
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k"}])
+def test_global_numbers_hold_over_many_partitions(spark, conf):
+    """Each row has its number, whatever adaptive execution makes of the partitions."""
+    conf = conf | {"spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 2_000_000 if len(conf) == 1 else 300_000
+        rows = spark.range(n).select((F.col("id") * 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(F.xxhash64("k"))
+        got = reviews.global_number(rows, "k", "number").agg(F.count("*"), F.count_if(F.col("number") != F.col("k") / 3 + 1), F.count_distinct("number")).first()
+        assert tuple(got) == (n, 0, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_global_numbers_of_nothing(spark):
+    assert reviews.global_number(spark.createDataFrame([], "k long, number int"), "k", "n").collect() == []
