@@ -8,8 +8,10 @@ n - ceil(percent * n / 100) + 1 members of each, so
 
 1. documents with equal sets are one node from then on;
 2. nodes that share such a first n-gram form a bucket, and buckets of the same nodes count once;
-3. every node meets the least nodes of a few of its buckets, then all nodes of a bucket meet those of other
-   components, in blocks of bounded size.
+3. every node meets the least nodes of a few of its buckets;
+4. all nodes of a bucket are held against those of other components by size and bitmap, in blocks of bounded size, and
+   components that any such pairs unite form a cluster, so a pair that shares many buckets meets once; the nodes of a
+   cluster meet, again in blocks.
 
 In a block the ordered sets of one side make a prefix tree, and each set of the other side goes down it: sets with a
 common beginning share the overlap counted so far, and a subtree is left as soon as what remains of both sides cannot
@@ -42,7 +44,7 @@ from .shared import drop, materialize, table, tidy_after
 SKETCH = 1 << 20  # counters
 SLAB = 1 << 12  # counters in a row
 BITS = 2048  # of a parity bitmap
-TRIED = 8  # buckets whose least nodes a node meets before the blocks
+TRIED = 2  # buckets whose least nodes a node meets before the blocks
 WEIGHT = 1024  # members of a set that count as one row of a block
 
 
@@ -218,11 +220,15 @@ class Block:
             if len(v):
                 yield u, v
 
-    def with_partners(self, percent: int) -> np.ndarray:
-        out = np.zeros(len(self.node), bool)
+    def clusters(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that have partners, and the least of the components that partners unite with each one's own."""
+        seen, label = np.zeros(len(self.node), bool), self.root.copy()
         for u, v in self.partners(percent):
-            out[u] = out[v] = True
-        return out
+            seen[u] = seen[v] = True
+            for other in np.unique(label[v]).tolist():
+                if other != label[u]:
+                    label[label == max(other, label[u])] = min(other, label[u])
+        return seen, label
 
     def forest(self, members: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Links (u, v) that unite what all links of the block unite: fewer than it has rows."""
@@ -247,27 +253,51 @@ class Block:
 BLOCK_ROWS = "g long, side int, node long, root long, n long, bits binary"
 
 
-def links_in(blocks: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links (u, v) that unite all components which a link joins within some block (g, side, node, root)."""
+def with_bits(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    return blocks.join(nodes.select("node", "n", "bits"), "node").select("g", "side", "node", "root", "n", "bits")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g")
+
+
+def partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks that may be linked with another one of theirs."""
 
     @tidy_after
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_block(batches):
-            yield from rows.filter(pa.array(Block(rows).with_partners(percent))).combine_chunks().to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in by_block(batches):
+            yield from own.filter(pa.array(Block(own).clusters(percent)[0])).combine_chunks().to_batches()
+
+    return dealt(rows).mapInArrow(run, BLOCK_ROWS)
+
+
+def clustered(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node, root): the nodes that may have links to other components, by cluster (key) of components that any such pairs unite."""
 
     @tidy_after
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_block(batches):
-            u, v = Block(rows).forest(rows.column("members").to_pylist(), percent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in by_block(batches):
+            block = Block(own)
+            seen, mate = block.clusters(percent)
+            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (block.node, block.root, mate)], ["node", "root", "mate"])
+
+    found = materialize(dealt(rows).mapInArrow(run, "node long, root long, mate long"), "partners")
+    least = star_components(found.select(F.col("root").alias("u"), F.col("mate").alias("v"))).select(F.col("u").alias("root"), F.col("v").alias("key"))
+    return found.select("node", "root").distinct().join(least, "root", "left").select(F.coalesce("key", "root").alias("key"), "node", "root")
+
+
+def links_in(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that unite all components which a link joins within some block."""
+
+    @tidy_after
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in by_block(batches):
+            u, v = Block(own).forest(own.column("members").to_pylist(), percent)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    dealt = lambda rows: rows.repartition("g").sortWithinPartitions("g")
-    rows = blocks.join(nodes.select("node", "n", "bits"), "node").select("g", "side", "node", "root", "n", "bits")
-    some = materialize(dealt(rows).mapInArrow(partnered, BLOCK_ROWS), "blocks")
-    whole = some.join(sets_of(some.select("node").distinct()), "node").select("g", "side", "node", "root", "n", "bits", "members")
-    links = materialize(dealt(whole).mapInArrow(united, "u long, v long"), "links")
-    drop(some)
-    return links
+    whole = rows.join(sets, "node").select("g", "side", "node", "root", "n", "bits", "members")
+    return materialize(dealt(whole).mapInArrow(run, "u long, v long"), "links")
 
 
 def least_blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -294,12 +324,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(buckets(signed, nodes), "buckets")
     sets_of = lambda wanted: full_sets(docs, nodes, wanted, classes, id_col, text_col, shingle)
 
-    first = links_in(least_blocks(shared, nodes), nodes, sets_of, percent)
+    some = materialize(partnered(with_bits(least_blocks(shared, nodes), nodes), percent), "blocks")
+    first = links_in(some, sets_of(some.select("node").distinct()), percent)
     stars = star_components(first)
+    drop(some)
+
     root = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    labelled = shared.join(root, "node", "left").join(nodes.select("node", F.ceil(F.col("n") / WEIGHT).alias("weight")), "node")
-    labelled = labelled.select("key", "node", F.coalesce("root", "node").alias("root"), "weight")
-    links = links_in(dealt_blocks(labelled, F.col("weight")).select("g", "side", "node", "root"), nodes, sets_of, percent)
+    weighed = nodes.select("node", F.ceil(F.col("n") / WEIGHT).alias("weight"))
+    labelled = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = clustered(with_bits(dealt_blocks(labelled).select("g", "side", "node", "root"), nodes), percent)
+    some = materialize(with_bits(dealt_blocks(apart.join(weighed, "node"), F.col("weight")).select("g", "side", "node", "root"), nodes), "blocks")
+    links = links_in(some, sets_of(some.select("node").distinct()), percent)
+    drop(some)
     after = star_components(stars.unionByName(links))
     for old in (first, stars, links, shared):
         drop(old)
