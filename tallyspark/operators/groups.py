@@ -1,8 +1,7 @@
-"""Groups: exact-sum subsets, competing lines, batches, merged entries and sampled strata."""
+"""Groups: exact-sum subsets, competing lines, merged entries and sampled strata."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +9,6 @@ from pyspark.sql.window import Window
 from .cut import checkpointed
 
 MOST_MEMBERS = 12
-BATCH_LINES = 20
-SHARD_UNITS = 5000
 
 
 def exact_subsets(members: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
@@ -57,37 +54,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "bank_id", rounds
     raise RuntimeError("components did not settle")
 
 
-def packed_batches(lines: DataFrame, size: int = BATCH_LINES, chars: int = 180_000) -> DataFrame:
-    """Adds `batch` to (component, bank_id, chars): competing lines stay together up to both limits.
-
-    Lines of a component are cut into consecutive chunks by running sums. Chunks are packed greedily within shards of
-    about SHARD_UNITS of them, dealt by a hash of the component, so no task sees all.
-    """
-    w = Window.partitionBy("component").orderBy("bank_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_count = F.floor((F.row_number().over(Window.partitionBy("component").orderBy("bank_id")) - 1) / size)
-    chunked = lines.withColumn("chunk", F.greatest(by_count, F.floor((F.sum("chars").over(w) - F.col("chars")) / chars)).cast("int"))
-    units = chunked.groupBy("component", "chunk").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    shards = max(1, -(-units.count() // SHARD_UNITS))
-    units = units.withColumn("shard", F.pmod(F.xxhash64("component", "chunk"), F.lit(shards)))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "component", "chunk"], ascending=[False, True, True])
-        room: list[list[int]] = []  # open batches: lines and characters left
-        found = []
-        for n, c in zip(pdf["n"], pdf["chars"], strict=True):
-            k = next((k for k, r in enumerate(room) if r[0] >= n and r[1] >= c), None)
-            if k is None:
-                room.append([size, chars])
-                k = len(room) - 1
-            room[k][0] -= n
-            room[k][1] -= c
-            found.append(k)
-        return pdf.assign(batch=[f"{s}-{k}" for s, k in zip(pdf["shard"], found, strict=True)])[["component", "chunk", "batch"]]
-
-    placed = units.groupBy("shard").applyInPandas(pack, f"component {dict(units.dtypes)['component']}, chunk int, batch string")
-    return chunked.join(placed, ["component", "chunk"]).drop("chunk")
-
-
 def merged_entries(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Entries merged by key: amounts are summed if all are known, currencies must agree, texts are joined once each."""
     texts = F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])), " / ")

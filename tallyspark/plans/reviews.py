@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import duplicates, groups, proposals, routes, scoring, usage
+from ..operators import batches, duplicates, groups, proposals, routes, scoring, usage
 from .standins import BANKS, PIECES, bank_lines, pieces, plain, query, table
 
 HASH = "upper(sha256(text))"
@@ -219,7 +219,50 @@ def competition_components(spark, sf_dir):
 def batch_packing(spark, sf_dir):
     choices = _choices(spark, sf_dir)
     grouped = groups.components(choices.select("bank_id").distinct(), groups.first_owner(choices))
-    return plain(groups.packed_batches(grouped.withColumn("chars", (F.col("bank_id") % 5000 + 200).cast("bigint"))).select("bank_id", "component", "batch"))
+    best = choices.groupBy("bank_id").agg(F.min("item_id").alias("best"))
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bank_id"), (F.col("l_partkey") % 300).alias("document")).distinct()
+    lines = grouped.join(best, "bank_id").withColumn("chars", (F.col("bank_id") % 5000 + 200).cast("bigint"))
+    return plain(batches.affine_batches(lines, wanted, wanted.select("document").distinct().withColumn("chars", 500 + 20 * F.col("document"))))
+
+
+_SEGMENTS = "CAST(('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 6)) AS BIGINT) % 64 = 0"
+
+
+@query(f"""
+WITH RECURSIVE {_TOP}, o AS (SELECT item_id, min(bank_id) AS owner FROM c GROUP BY item_id),
+e AS (SELECT bank_id AS u, owner AS v FROM c JOIN o USING (item_id) UNION SELECT owner, bank_id FROM c JOIN o USING (item_id)),
+r(n, root) AS (SELECT bank_id, bank_id FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.n),
+l AS (SELECT n AS bank_id, min(root) AS component FROM r GROUP BY n),
+x AS (SELECT component, count(*) AS n FROM l GROUP BY component),
+g AS (SELECT component, n, coalesce(CAST(last_value(CASE WHEN {_SEGMENTS.format("component")} THEN component END IGNORE NULLS) OVER (ORDER BY component) AS VARCHAR), '') AS segment FROM x WHERE n <= 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY component) AS pos FROM g),
+f(segment, pos, component, used, k) AS (
+  SELECT segment, pos, component, n, 0 FROM p WHERE pos = 1
+  UNION ALL SELECT p.segment, p.pos, p.component, CASE WHEN used + p.n > 3 THEN p.n ELSE used + p.n END, CASE WHEN used + p.n > 3 THEN k + 1 ELSE k END FROM f JOIN p ON p.segment = f.segment AND p.pos = f.pos + 1)
+SELECT l.bank_id, l.component, f.segment || '-' || k AS batch FROM l JOIN f USING (component)
+UNION ALL SELECT bank_id, component, component || '/' || ((row_number() OVER (PARTITION BY component ORDER BY bank_id) - 1) // 3) FROM l JOIN x USING (component) WHERE n > 3
+""")
+def connected_batches(spark, sf_dir):
+    choices = _choices(spark, sf_dir)
+    return plain(batches.connected_batches(groups.components(choices.select("bank_id").distinct(), groups.first_owner(choices)), 3))
+
+
+@query(f"""
+WITH RECURSIVE p AS ({PIECES}), g AS (
+  SELECT document, line AS page, CAST(sum(CAST(amount * 100 AS BIGINT) % 60000) AS BIGINT) AS chars, CAST(sum(part % 25) AS BIGINT) AS images, bool_or(part % 31 = 0) AS blocked, row_number() OVER (PARTITION BY document ORDER BY line) AS pos
+  FROM p GROUP BY document, line),
+s(document, pos, page, request, asked, n, c, i, broken) AS (
+  SELECT document, 0::BIGINT, 0::BIGINT, NULL::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true FROM (SELECT DISTINCT document FROM g)
+  UNION ALL SELECT document, pos, page, CASE WHEN NOT bad THEN asked + fresh END, CASE WHEN bad THEN asked ELSE asked + fresh END, CASE WHEN bad THEN n WHEN fresh = 1 THEN 1 ELSE n + 1 END,
+    CASE WHEN bad THEN c WHEN fresh = 1 THEN 500 + chars ELSE c + chars END, CASE WHEN bad THEN i WHEN fresh = 1 THEN images ELSE i + images END, bad
+  FROM (SELECT g.document, g.pos, g.page, g.chars, g.images, s.asked, s.n, s.c, s.i, g.blocked OR g.chars + 500 > 50000 OR g.images > 30 AS bad,
+      CASE WHEN s.broken OR s.n + 1 > 3 OR s.c + g.chars > 50000 OR s.i + g.images > 30 THEN 1 ELSE 0 END AS fresh FROM s JOIN g ON g.document = s.document AND g.pos = s.pos + 1))
+SELECT document, page, request FROM s WHERE pos > 0
+""")
+def request_groups(spark, sf_dir):
+    p = pieces(spark, sf_dir)
+    units = p.select("document", F.col("line").alias("page"), ((F.col("amount") * 100).cast("bigint") % 60000).alias("chars"), (F.col("part") % 25).alias("images"), (F.col("part") % 31 == 0).alias("blocked"))
+    return plain(batches.bounded_requests(units, pages=3, images=30, chars=50_000, overhead=500))
 
 
 _ATTEMPTS = """
