@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources import banks
+from ..sources import banks, office
 from .standins import plain, query, table
 
 _PRINTED = """
@@ -116,3 +116,26 @@ def ambank_rows(spark, sf_dir):
     words = body.unionByName(frame).select("source", F.lit(1).alias("page"), "l.line", F.explode("l.words").alias("w")).select("source", "page", "line", "w.*")
     rows, controls = banks.ambank_statement(words)
     return plain(rows.join(controls, "source").select("source", "sequence", "date_text", "narration", "money_out", "money_in", "opening", "debit"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS sheet, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders)
+SELECT CAST(sheet AS VARCHAR) AS path, n + CASE WHEN n > 4 THEN 3 ELSE 2 END AS row_no, 'P ' || o_orderkey AS party, CAST(amount AS DOUBLE) AS amount, CASE WHEN n > 4 THEN 'A' || (n + 3) || ',AB' || (n + 3) ELSE 'B' || (n + 2) || ',D' || (n + 2) END AS cells
+FROM o WHERE o_orderkey % 5 NOT IN (1, 2)
+""")
+def payable_rows(spark, sf_dir):
+    """A sheet a customer: a line before the header, four rows, then the header anew over other columns. Some rows lack the name or owe nothing."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), k, F.row_number().over(w).alias("n"), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2).alias("amount"))
+    first = F.col("n") <= 4
+    row = F.col("n") + F.when(first, 2).otherwise(3)
+    name = F.when(k % 5 == 1, F.lit(" ")).otherwise(F.concat(F.lit(" P "), k.cast("string")))
+    owed = F.when(k % 5 == 2, F.lit("-5")).when(k % 5 == 3, F.concat(F.lit("RM "), "amount")).otherwise(F.col("amount"))
+    cell = lambda row, column, value: F.struct(row.cast("int").alias("row"), (F.lit(column) if isinstance(column, str) else column).alias("column"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+    body = o.select("path", F.explode(F.array(cell(row, F.when(first, "B").otherwise("A"), name), cell(row, "C", "note = 7.00"), cell(row, F.when(first, "D").otherwise("AB"), owed))).alias("c"))
+    head = o.filter("n = 1").select("path", F.explode(F.array(cell(F.lit(1), "B", "someone"), cell(F.lit(1), "D", "12.00"), cell(F.lit(2), "A", "Full Name"), cell(F.lit(2), "B", "姓名 "), cell(F.lit(2), "D", "Amount (RM)"), cell(F.lit(7), "A", "FULL NAME"), cell(F.lit(7), "AB", "金额\t(RM)"))).alias("c"))
+    texts = F.transform(F.sort_array(F.collect_list("c")), lambda c: F.concat(c["column"], c["row"].cast("string"), F.lit("="), c["value"]))
+    units = body.unionByName(head).groupBy("path").agg(F.array_join(texts, " | ").alias("text")).select(F.col("path").cast("string").alias("path"), F.lit("Sheet1").alias("label"), "text")
+    found = office.payable_rows(office.cells(units))
+    return plain(found.select("path", "row_no", "party", "amount", F.array_join("cells", ",").alias("cells")))

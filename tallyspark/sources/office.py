@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UNITS = "path string, unit_no int, label string, text string, error string"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -93,3 +94,30 @@ def cells(units: DataFrame) -> DataFrame:
     cell = units.select("path", "label", F.explode(F.split("text", r" \| ")).alias("c"))
     part = lambda k: F.regexp_extract("c", r"(?s)^([A-Z]+)([0-9]+)=(.*)$", k)
     return cell.select("path", "label", part(2).cast("int").alias("row_no"), part(1).alias("column_name"), part(3).alias("value"))
+
+
+# Labels over the columns of payees and amounts; the second ones are compared without white space and in small letters.
+NAME_LABELS = ["达人全名", "姓名", "Full Name", "FULL NAME"]
+AMOUNT_LABELS = ["金额(rm)", "amount(rm)"]
+
+
+def payable_rows(sheet_cells: DataFrame) -> DataFrame:
+    """Rows (path, label, row_no, party, amount, cells) of sheets that say which columns hold full names and amounts.
+
+    Which columns these are is carried down the rows from the last label of each kind, so a table may move to other columns or
+    have its header again; the rightmost of several labels in a row counts. Rows before both labels, without a name or with an
+    amount that isn't a positive number give nothing. sheet_cells are rows of cells(); a row's cells are held together, not a sheet's.
+    """
+    value = F.trim(F.coalesce("value", F.lit("")))
+    place = F.struct(F.length("column_name").alias("width"), F.col("column_name").alias("column"))
+    label_of = lambda found: F.max(F.when(found, place))["column"]
+    amount_label = F.lower(F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)\s", "")).isin(AMOUNT_LABELS)
+    whole = F.map_from_entries(F.collect_list(F.struct("column_name", "value")))
+    once = sheet_cells.filter("row_no is not null").dropDuplicates(["path", "label", "row_no", "column_name"])
+    rows = once.groupBy("path", "label", "row_no").agg(label_of(value.isin(NAME_LABELS)).alias("names"), label_of(amount_label).alias("amounts"), whole.alias("row"))
+    down = Window.partitionBy("path", "label").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = rows.withColumns({c: F.last(c, ignorenulls=True).over(down) for c in ("names", "amounts")}).filter("names is not null and amounts is not null")
+    party = F.trim(F.try_element_at("row", F.col("names")))
+    amount = F.trim(F.replace(F.replace(F.try_element_at("row", F.col("amounts")), F.lit("RM")), F.lit(",")))
+    read = bound.select("path", "label", "row_no", party.alias("party"), amount.try_cast("decimal(38,10)").alias("amount"), F.array(F.concat("names", F.col("row_no").cast("string")), F.concat("amounts", F.col("row_no").cast("string"))).alias("cells"))
+    return read.filter("party != '' and amount > 0").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
