@@ -43,7 +43,7 @@ from .shared import drop, materialize, table, tidy_after
 
 SKETCH = 1 << 20  # counters
 SLAB = 1 << 12  # counters in a row
-BITS = 2048  # of a parity bitmap
+BITS = 2048  # of a parity bitmap at least
 TRIED = 2  # buckets whose least nodes a node meets before the blocks
 WEIGHT = 1024  # members of a set that count as one row of a block
 
@@ -86,7 +86,9 @@ def ordered(members: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def parity(members: np.ndarray) -> bytes:
-    odd = np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Bit h modulo the size tells whether oddly many hashes h hit it; the size is a power of two, BITS and the set's size at least."""
+    size = max(BITS, 1 << (len(members) - 1).bit_length())
+    odd = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
@@ -116,15 +118,19 @@ def signatures(docs: DataFrame, classes: np.ndarray, id_col: str, text_col: str,
 def buckets(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (key, node, least): the nodes of each bucket of two and more, one bucket for each set of nodes, and its least node."""
     keys = signed.select("id", "digest", "head").join(nodes.select("id", "digest", "node"), ["id", "digest"]).select("node", F.explode("head").alias("key"))
+    often = keys.groupBy("key").count().filter("count > 1").select("key")
+    near = materialize(keys.join(often, "key"), "keys")
     one, two = (F.bit_xor(F.xxhash64(F.lit(k), "node")) for k in (1, 2))
-    size = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), one.alias("one"), two.alias("two")).filter("size > 1")
+    size = near.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), one.alias("one"), two.alias("two"))
     first = size.groupBy("size", "least", "one", "two").agg(F.min("key").alias("key"))
-    return keys.join(first.select("key", "least"), "key").distinct()
+    found = materialize(near.join(first.select("key", "least"), "key").distinct(), "buckets")
+    drop(near)
+    return found
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, classes: np.ndarray, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (node, members) for the wanted nodes: their whole sets in the global order, 8 bytes a member."""
-    named = nodes.select("node", "id", "digest").join(wanted, "node", "left_semi")
+def with_members(rows: DataFrame, docs: DataFrame, nodes: DataFrame, classes: np.ndarray, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The rows (node, ...) with their nodes' whole sets in the global order, 8 bytes a member."""
+    named = rows.join(nodes.select("node", "id", "digest"), "node")
     bitmap = id_bitmap(named.select("id"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +141,17 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, classes: np.
     @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in text_chunks(batch, 1):
+            for at, texts in text_chunks(batch, 0):
+                own = batch.slice(at, len(texts))
                 sets = shingle_sets(texts, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array([ordered(s, classes).tobytes() for s in sets], pa.binary())], ["digest", "members"])
+                # An id may stand on several texts: the digest tells which of them is meant.
+                meant = pa.array([set_digest(s) == d for s, d in zip(sets, own.column(1).to_pylist(), strict=True)], pa.bool_())
+                members = pa.array([ordered(s, classes).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own.columns[2:], members], [*own.schema.names[2:], "members"]).filter(meant)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    near = source.mapInArrow(some, "id long, text string").join(named.select("id").distinct(), "id", "left_semi")
-    # An id may stand on several texts: the digest tells which of them is meant.
-    return near.mapInArrow(run, "digest binary, members binary").dropDuplicates(["digest"]).join(named.select("digest", "node"), "digest").select("node", "members")
+    met = source.mapInArrow(some, "id long, text string").join(named, "id").select("text", "digest", *rows.columns)
+    return met.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", members binary")
 
 
 class PrefixTree:
@@ -204,7 +213,25 @@ class Block:
 
     def __init__(self, rows: pa.Table):
         self.node, self.root, self.side, self.n = (rows.column(c).to_numpy() for c in ("node", "root", "side", "n"))
-        self.bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(self.node), -1)
+        bits = rows.column("bits").to_pylist()
+        self.width = np.array(list(map(len, bits)), np.int64)
+        # For each width in use, the bitmaps that are as wide or wider, folded to it, and the places of their rows in it.
+        self.folded = {}
+        for width in np.unique(self.width).tolist():
+            wide = np.flatnonzero(self.width >= width)
+            place = np.full(len(bits), -1)
+            place[wide] = np.arange(len(wide))
+            self.folded[width] = place, np.array([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, width // 8), axis=0) for k in wide])
+
+    def apart(self, u: int, v: np.ndarray) -> np.ndarray:
+        """The least number of members that only one of u and each v can have."""
+        out = np.zeros(len(v), np.int64)
+        widths = np.minimum(self.width[v], self.width[u])
+        for width in np.unique(widths).tolist():
+            place, bits = self.folded[width]
+            own = widths == width
+            out[own] = np.bitwise_count(bits[place[v[own]]] ^ bits[place[u]]).sum(axis=1, dtype=np.int64)
+        return out
 
     def partners(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         """Each row with those rows of other components that its size and bitmap allow to be linked with it."""
@@ -215,8 +242,7 @@ class Block:
             if self.side[u] == 2:
                 may &= (self.side[two] != 2) | (self.node[two] < self.node[u])
             v = two[may]
-            apart = np.bitwise_count(self.bits[v] ^ self.bits[u]).sum(axis=1, dtype=np.int64)
-            v = v[(100 + percent) * apart <= (100 - percent) * (self.n[v] + self.n[u])]
+            v = v[(100 + percent) * self.apart(u, v) <= (100 - percent) * (self.n[v] + self.n[u])]
             if len(v):
                 yield u, v
 
@@ -287,8 +313,8 @@ def clustered(rows: DataFrame, percent: int) -> DataFrame:
     return found.select("node", "root").distinct().join(least, "root", "left").select(F.coalesce("key", "root").alias("key"), "node", "root")
 
 
-def links_in(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that unite all components which a link joins within some block."""
+def links_in(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that unite all components which a link joins within some block (g, side, node, root, n, bits, members)."""
 
     @tidy_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +322,7 @@ def links_in(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             u, v = Block(own).forest(own.column("members").to_pylist(), percent)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    whole = rows.join(sets, "node").select("g", "side", "node", "root", "n", "bits", "members")
-    return materialize(dealt(whole).mapInArrow(run, "u long, v long"), "links")
+    return materialize(dealt(rows).mapInArrow(run, "u long, v long"), "links")
 
 
 def least_blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -321,11 +346,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialize(signatures(docs, classes, id_col, text_col, shingle, percent), "signatures")
     nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "bits")).alias("s")).select("digest", "s.*")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
-    shared = materialize(buckets(signed, nodes), "buckets")
-    sets_of = lambda wanted: full_sets(docs, nodes, wanted, classes, id_col, text_col, shingle)
+    shared = buckets(signed, nodes)
+    whole = lambda rows: with_members(rows, docs, nodes, classes, id_col, text_col, shingle)
 
     some = materialize(partnered(with_bits(least_blocks(shared, nodes), nodes), percent), "blocks")
-    first = links_in(some, sets_of(some.select("node").distinct()), percent)
+    first = links_in(whole(some), percent)
     stars = star_components(first)
     drop(some)
 
@@ -334,7 +359,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = clustered(with_bits(dealt_blocks(labelled).select("g", "side", "node", "root"), nodes), percent)
     some = materialize(with_bits(dealt_blocks(apart.join(weighed, "node"), F.col("weight")).select("g", "side", "node", "root"), nodes), "blocks")
-    links = links_in(some, sets_of(some.select("node").distinct()), percent)
+    links = links_in(whole(some), percent)
     drop(some)
     after = star_components(stars.unionByName(links))
     for old in (first, stars, links, shared):
