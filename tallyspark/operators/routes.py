@@ -88,29 +88,41 @@ def gram_vectors(items: DataFrame, key: str, grams: Column) -> tuple[DataFrame,
     return counts, counts.groupBy("gram").agg(F.count("*").alias("df")), items.agg(F.count("*").alias("n"))
 
 
+def heads(weights: DataFrame, key: str, weight: str, df: str, least: float) -> DataFrame:
+    """Rows (key, gram): of each vector the rarest grams, so many that the others together are shorter than `least` of its length.
+
+    Two vectors with a cosine of `least` share one of both heads: else all they share would be in one's rest, and their product below that.
+    """
+    w = Window.partitionBy(key)
+    rest = F.sum(F.col(weight) * F.col(weight)).over(w.orderBy(F.coalesce(df, F.lit(0)), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = F.sum(F.col(weight) * F.col(weight)).over(w)
+    return weights.withColumn("_rest", rest).withColumn("_whole", whole).filter(F.col("_rest") >= (least * least - 1e-6) * F.col("_whole")).select(key, "gram")
+
+
 def name_route(banks: DataFrame, items: DataFrame, least: float = NAME_MATCH, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs of names with IDF-weighted trigram cosine of at least `least`: (bank_id, item_id, name).
 
     With pairs (bank_id, item_id), only these are compared, not all that share a trigram.
 
     banks: (bank_id, name), a row a name; items: (item_id, name). A gram that no item has still counts in the length
-    of the bank's vector. Equal names are compared once and fan out afterwards.
+    of the bank's vector. Equal names are compared once and fan out afterwards. Names meet over the rare grams of both (heads), so the
+    commonest grams make no pairs; only pairs that met are multiplied out.
     """
     bank_names, item_names = banks.select(F.col("name").alias("bank_name")).distinct(), items.select(F.col("name").alias("item_name"), "item_id")
     counts, df, n = gram_vectors(item_names, "item_id", T.grams(F.col("item_name")))
     size = F.broadcast(n)  # one row
     of_name = item_names.groupBy("item_name").agg(F.min("item_id").alias("item_id"))
-    weights = counts.join(of_name.select("item_id"), "item_id", "left_semi").join(df, "gram").crossJoin(size).select("item_id", "gram", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("w"))
+    weights = counts.join(of_name.select("item_id"), "item_id", "left_semi").join(df, "gram").crossJoin(size).select("item_id", "gram", "df", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("w"))
     item_length = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     asked = bank_names.select("bank_name", F.explode(T.grams(F.col("bank_name"))).alias("gram")).groupBy("bank_name", "gram").agg(F.count("*").alias("tf"))
-    asked = asked.join(df, "gram", "left").crossJoin(size).select("bank_name", "gram", (F.col("tf") * F.when(F.col("df").isNull(), F.log1p(F.col("n").cast("double"))).otherwise(F.log1p(F.col("n") / F.col("df")))).alias("v"))
+    asked = asked.join(df, "gram", "left").crossJoin(size).select("bank_name", "gram", "df", (F.col("tf") * F.when(F.col("df").isNull(), F.log1p(F.col("n").cast("double"))).otherwise(F.log1p(F.col("n") / F.col("df")))).alias("v"))
     bank_length = asked.groupBy("bank_name").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("bank_length"))
     if pairs is not None:
         named = pairs.select("bank_id", "item_id").join(banks.select("bank_id", F.col("name").alias("bank_name")), "bank_id").join(item_names, "item_id").select("bank_name", "item_name").distinct()
-        asked_pairs = named.join(of_name, "item_name").select("bank_name", "item_id").join(asked, "bank_name")
-        met = asked_pairs.join(weights, ["item_id", "gram"])
+        named = named.join(of_name, "item_name").select("bank_name", "item_id")
     else:
-        met = asked.join(weights, "gram")
+        named = heads(asked, "bank_name", "v", "df", least).join(heads(weights, "item_id", "w", "df", least), "gram").select("bank_name", "item_id").distinct()
+    met = named.join(asked.drop("df"), "bank_name").join(weights.drop("df"), ["item_id", "gram"])
     dot = met.groupBy("bank_name", "item_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     near = dot.join(bank_length, "bank_name").join(item_length, "item_id").select("bank_name", "item_id", (F.col("dot") / (F.col("bank_length") * F.col("length"))).alias("name"))
     near = near.filter(F.round("name", 9) >= least).join(of_name, "item_id").select("bank_name", "item_name", "name")
@@ -222,7 +234,7 @@ def rank_candidates(banks: DataFrame, items: DataFrame, printed: DataFrame | Non
     whole_documents = document_total_route(banks, items, printed)
     # All names that are alike, and of the pairs that the other routes found, the likeness whatever it is.
     others = amounts.select("bank_id", "item_id").unionByName(refs.select("bank_id", "item_id")).unionByName(whole_documents.select("bank_id", "item_id")).distinct()
-    names = name_route(bank_names, item_names).unionByName(name_route(bank_names, item_names, 0.0, others)).groupBy("bank_id", "item_id").agg(F.max("name").alias("name"))
+    names = name_route(bank_names, item_names).unionByName(name_route(bank_names, item_names, 0.0, others)).groupBy("bank_id", "item_id").agg(F.round(F.max("name"), 9).alias("name"))  # sums in any order rank alike
     single = amounts.join(refs, ["bank_id", "item_id"], "full_outer").join(names, ["bank_id", "item_id"], "full_outer")
     single = single.withColumn("name", F.coalesce("name", F.lit(0.0))).withColumn("has_reference", F.coalesce("has_reference", F.lit(False)))
     strong = F.col("difference").isNotNull() | F.col("has_reference")
