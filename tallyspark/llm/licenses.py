@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 LEAST_DICE = 0.8
+REPEATS = 2
 WORDS = re.compile("[a-z0-9]+").findall
 #: Name and public wording of notices.
 TEMPLATES = [
@@ -74,7 +75,11 @@ def may_hold(text: str, sets: list[tuple[str, list[str]]], least: float) -> bool
 
 
 def runs_of_pieces(text: str, sets: list[tuple[str, list[str]]], least: float) -> tuple[str, float, int, int] | None:
-    """(license, dice, place, runs) for the runs of consecutive pieces that reach a template; sets in the order of names."""
+    """(license, dice, place, runs) for the runs of consecutive pieces that reach a template; sets in the order of names.
+
+    A run has at most REPEATS times as many words as distinct bigrams that a template allows, or is one piece: however often a text
+    repeats itself, the work grows with its length.
+    """
     sizes = [len(g) for _, g in sets]
     high = max(sizes) * (2 - least) / least
     where: dict[str, list[int]] = {}
@@ -94,13 +99,15 @@ def runs_of_pieces(text: str, sets: list[tuple[str, list[str]]], least: float) -
         return None
     starts, ends = [a for a, _, _ in units], [b for _, b, _ in units]
     cuts = {(bisect_left(ends, a + 1), bisect_right(starts, b - 1) - 1) for p in (r"\n", r"\n[ \t\r]*\n") for a, b in pieces(p)} | {(k, k) for k in range(len(units))}
-    found = []
-    for i, (_, _, words) in enumerate(units):
-        if not held[i] or (i + 2 < len(units) and words == units[i + 1][2] == units[i + 2][2]):
-            continue  # the run that begins with the next piece is as good or better
+    numbers: dict[tuple, int] = {}
+    content = [numbers.setdefault(tuple(w), len(numbers)) for _, _, w in units]
+    many = [len(w) for _, _, w in units]
+
+    def reached(i: int, stop: int) -> list[tuple[float, int, int]]:
+        """(dice, place, pieces) of the runs from piece i on that reach a template and end before `stop`."""
         seen: set[str] = set()
-        shared, last = [0] * len(sets), None
-        for j in range(i, len(units)):
+        shared, last, out = [0] * len(sets), None, []
+        for j in range(i, stop):
             for w in units[j][2]:
                 gram = f"{last} {w}"
                 if last is not None and gram not in seen:
@@ -108,13 +115,27 @@ def runs_of_pieces(text: str, sets: list[tuple[str, list[str]]], least: float) -
                     for k in where.get(gram, ()):
                         shared[k] += 1
                     if len(seen) > high:
-                        break
+                        return out
                 last = w
-            if len(seen) > high:
-                break
             best = max((2.0 * n / (len(seen) + size), -k) for k, (n, size) in enumerate(zip(shared, sizes, strict=True)))
-            if best[0] >= least and ends[j] - starts[i] >= 8:
-                found.append((*best, i, j))
+            if best[0] >= least:
+                out.append((*best, j - i))
+        return out
+
+    found, known, stop, ahead = [], {}, 0, 0
+    for i, (_, _, words) in enumerate(units):
+        if stop <= i:
+            stop, ahead = i, 0
+        while stop < len(units) and (stop == i or ahead + many[stop] <= REPEATS * high):
+            ahead += many[stop]
+            stop += 1
+        ahead -= many[i]  # the words of the pieces behind this one
+        if not held[i] or (i + 2 < len(units) and words == units[i + 1][2] == units[i + 2][2]):
+            continue  # the run that begins with the next piece is as good or better
+        key = tuple(content[i:stop])
+        if key not in known:
+            known[key] = reached(i, stop)
+        found += [(dice, place, i, i + n) for dice, place, n in known[key] if ends[i + n] - starts[i] >= 8]
     if not found:
         return None
     taken = [False] * len(units)
