@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyspark.plans import candidates, fields, ledgers, reviews, standins, statements, statuses  # noqa: F401
+from tallyspark.plans import candidates, fields, gates, ledgers, reviews, standins, statements, statuses  # noqa: F401
 
 from .oracle import assert_same
 
