@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import id_bitmap
 from .shared import drop, materialize, table, tidy_after
 
 #: Fixed values.
@@ -49,7 +50,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
 #: A value that something is set to; a secret if its characters carry enough information.
-VALUE = re.compile(r"""[=:][\x20\t]*["']?([A-Za-z0-9+/_-]{20,4096})(?![A-Za-z0-9+/_-])""")
+VALUE = re.compile(r"""[=:][\x20\t]*["']?([A-Za-z0-9+/_-]{20,}+)""")
 LEAST_BITS = 3.0  # a character of a secret, by the frequencies of its own characters
 WORD = re.compile(r"[^\W\d_]{3,}")
 SUPPORT = 5
@@ -154,25 +155,12 @@ def place(*names: str) -> int:
 
 
 def bitmap(names: DataFrame) -> bytes:
-    """BITS bits with those at the places of the rows set, made inside a few tasks."""
-    columns = names.columns
-
-    @tidy_after
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns))), strict=True):
-                bits[place(*row)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in names.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+    """BITS bits with those at the places of the rows set."""
+    return id_bitmap(names.select(F.crc32(F.concat_ws("\0", *names.columns).cast("binary")).alias("id")), BITS).tobytes()
 
 
 def held(bits: bytes, at: int) -> bool:
-    return bool(bits[at >> 3] & (128 >> (at & 7)))
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
@@ -246,8 +234,15 @@ def word_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
 
 
 def entity_counts(found: DataFrame) -> DataFrame:
-    """Rows (entity, n_entity): the distinct texts that have each entity, whether or not any word stands by it."""
-    return found.filter(F.size("entities") > 0).select("h", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """Rows (entity, n_entity): the distinct texts that have each entity, whether or not any word stands by it.
+
+    Of entities that stand in the same texts, which words reveal alike, only the least comes; so a list of addresses that some texts
+    share counts as one of them.
+    """
+    named = found.filter(F.size("entities") > 0).select("h", F.explode("entities").alias("entity")).distinct()
+    one, two = (F.bit_xor(F.xxhash64(F.lit(k), "h")) for k in (1, 2))
+    counts = named.groupBy("entity").agg(F.count("*").alias("n_entity"), one.alias("one"), two.alias("two"))
+    return counts.groupBy("n_entity", "one", "two").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
 
 
 def entity_texts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
