@@ -98,3 +98,19 @@ def test_comparison_form(spark):
 
 def test_grams_ignore_honorifics(spark):
     assert one(spark, T.grams(F.col("a")), a="Cik Ali") == [" AL", "ALI", "LI "]
+
+
+@pytest.mark.parametrize(
+    ("narration", "want"),
+    [("paid ＩＮＶ１２３ now", ["a"]), ("STRASSE 99", ["b"]), ("straße99", ["b"]), ("inv 1 2 3", ["a"]), ("INV123.", []), ("x-INV123", []), ("(INV123)", ["a"]), ("INV1234", [])],
+)
+def test_references_and_narrations_have_one_form(spark, narration, want):
+    from tallyspark.operators import routes
+
+    items = spark.createDataFrame([("a", "Inv 123"), ("b", "Straße 99")], "item_id string, ref string").select("item_id", F.array(T.normalize_reference(F.col("ref"))).alias("refs"))
+    found = routes.narrated_references(spark.createDataFrame([(1, narration)], "bank_id int, narration string"), items)
+    assert [r["item_id"] for r in found.collect()] == want
+
+
+def test_typed_references_take_any_digits(spark):
+    assert one(spark, T.typed_reference(F.lit("Invoice_Number"), F.col("a")), a="ＡＢ ١٢") == "ab١٢"
