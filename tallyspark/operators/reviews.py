@@ -139,6 +139,17 @@ def competing_lines(choices: DataFrame) -> DataFrame:
     return choices.select("item_id", "bank_id").distinct().groupBy("item_id").agg(F.count("*").alias("lines"))
 
 
+def competing_facts(choices: DataFrame, banks: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows (item_id, facts of banks): every line that lists a candidate of the batch's lines, those of the batch too.
+
+    banks: bank_id and what the other side shows of a line, such as amount, parties, references, description. A candidate that very many lines list
+    gives as many rows, none of them long.
+    """
+    listed = choices.select("item_id", "bank_id").distinct()
+    selected = listed.join(batch.select("bank_id").distinct(), "bank_id", "left_semi").select("item_id").distinct()
+    return listed.join(selected, "item_id", "left_semi").join(banks, "bank_id").select("item_id", *banks.columns)
+
+
 def report_checks(proposals: DataFrame, banks: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (bank_id, assessment, problem) after the checks over all lines; each looks at what the one before left strong.
 
@@ -287,6 +298,40 @@ def evidence_problems(values: DataFrame, words: DataFrame) -> DataFrame:
     return values.join(words.select("document", F.col("word").alias("value")).distinct(), ["document", "value"], "left_anti")
 
 
+# Fixed values.
+TOTAL_ROLES, TOTAL_LABELS = ["grand_total", "invoice_total"], ["total", "grand_total", "invoice_total"]
+STRIPPED = " :;()"
+
+
+def page_errors(results: DataFrame, words: DataFrame, key: str = "page") -> DataFrame:
+    """Rows (key, errors): what keeps the text of a page from standing for its image, sorted; no errors give an empty array.
+
+    results: key, readable, limitations, review_warnings (arrays), receipts array<struct<document_type, total, currency, invoice_numbers, limitations>>,
+    money array<struct<role, amount, currency>>, totals array<struct<label, amount, currency>>. words: key, text. A receipt's total, currency and invoice
+    numbers must each be a whole word of the page, with STRIPPED around it left out.
+    """
+    many = lambda c: F.coalesce(F.size(c), F.lit(0))
+    receipts = F.coalesce("receipts", F.array().cast(results.schema["receipts"].dataType))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    pair = lambda x: F.struct(x["amount"].alias("amount"), x["currency"].alias("currency"))
+    by_role = F.transform(F.filter("money", lambda m: m["role"].isin(TOTAL_ROLES)), pair)
+    by_label = F.transform(F.filter("totals", lambda t: F.replace(F.lower(t["label"]), F.lit(" "), F.lit("_")).isin(TOTAL_LABELS)), pair)
+    none = F.array().cast("array<struct<amount:string,currency:string>>")
+    found = F.array_distinct(F.concat(F.coalesce(by_role, none), F.coalesce(by_label, none)))
+    uncertain = ~F.coalesce("readable", F.lit(False)) | F.exists(receipts, lambda r: ~r["document_type"].eqNullSafe(F.lit("receipt"))) | (many("limitations") > 0) | (many("review_warnings") > 0)
+    incomplete = F.exists(receipts, lambda r: (many(r["limitations"]) > 0) | blank(r["total"]) | blank(r["currency"]))
+    own = F.array_compact(F.array(
+        F.when(uncertain, "uncertain_text_extraction"), F.when(F.size(receipts) != 1, "ambiguous_receipt_boundaries"), F.when(F.size(found) > 1, "conflicting_totals_or_currencies"), F.when(incomplete, "incomplete_receipt")))
+    cell = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
+    numbers = lambda r: F.transform(F.coalesce(r["invoice_numbers"], F.array().cast("array<string>")), lambda v, n: cell(F.concat(F.lit("invoice_"), n.cast("string")), v))
+    cells = F.flatten(F.transform(receipts, lambda r: F.concat(F.array(cell(F.lit("total"), r["total"]), cell(F.lit("currency"), r["currency"])), numbers(r))))
+    printed = words.select(key, F.btrim("text", F.lit(STRIPPED)).alias("value")).distinct()
+    lacking = results.select(key, F.explode(cells).alias("c")).select(key, "c.*").filter(~blank(F.col("value"))).distinct().join(printed, [key, "value"], "left_anti")
+    unsupported = lacking.groupBy(key).agg(F.collect_set(F.concat(F.lit("unsupported_"), "field")).alias("unsupported"))  # of one page
+    both = results.select(key, own.alias("own")).join(unsupported, key, "left")
+    return both.select(key, F.array_sort(F.array_distinct(F.concat("own", F.coalesce("unsupported", F.array().cast("array<string>"))))).alias("errors"))
+
+
 def resumable(requests: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (key, request_revision) whose saved result is of the same revision, and those to be made again."""
     done = requests.join(results.select("key", "request_revision", "result"), ["key", "request_revision"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gate
+from ..operators import gate, reviews
 from .standins import PIECES, pieces, plain, query, table
 
 _UNITS = f"""
@@ -70,3 +70,38 @@ def submitted_lineage(spark, sf_dir):
     piece = F.when(k == 1, F.concat(F.lit("p"), text)).when(k == 2, F.lit("p1")).when(k == 3, F.concat(F.lit("x"), text)).when(k == 4, F.lit(" "))
     parents = F.when(k == 1, F.array(F.lit("old"))).when(k == 5, F.array(F.lit("p1"))).when(k == 6, F.array(F.lit("p1"), F.lit("p2"))).when(k == 0, F.array(F.lit("p1"), F.lit("q9")))
     return plain(gate.submitted_lineage(rows.select("document", "pos", piece.alias("piece_id"), parents.alias("parents")), existing))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT l_partkey AS item_id, l_orderkey AS bank_id FROM lineitem)
+SELECT item_id, bank_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, c_name AS party, 'inv' || o_orderkey AS reference FROM c JOIN orders ON o_orderkey = bank_id JOIN customer ON c_custkey = o_custkey
+WHERE item_id IN (SELECT item_id FROM c WHERE bank_id % 50 = 7)
+""")
+def competing_facts(spark, sf_dir):
+    """The other lines of every candidate of one batch, with their amounts, parties and references."""
+    choices = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_orderkey").alias("bank_id"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    banks = o.select(F.col("o_orderkey").alias("bank_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("c_name").alias("party"), F.concat(F.lit("inv"), F.col("o_orderkey").cast("string")).alias("reference"))
+    return plain(reviews.competing_facts(choices, banks, banks.filter("bank_id % 50 = 7")))
+
+
+@query(f"""
+WITH p AS ({PIECES}), r AS (SELECT document AS page, count(*) AS n, min(CAST(amount AS VARCHAR)) AS total, bool_or(part % 17 = 0) AS limited, bool_or(part % 19 = 0) AS foreign_, bool_or(part % 23 = 0) AS odd, bool_or(part % 5 = 0) AS shown FROM p GROUP BY document)
+SELECT page, array_to_string(list_sort(list_filter([
+  CASE WHEN page % 29 = 0 OR limited THEN 'uncertain_text_extraction' END, CASE WHEN page % 31 = 0 THEN 'ambiguous_receipt_boundaries' END, CASE WHEN foreign_ THEN 'conflicting_totals_or_currencies' END,
+  CASE WHEN page % 31 <> 0 AND odd THEN 'incomplete_receipt' END, CASE WHEN page % 31 <> 0 AND NOT odd AND page % 37 = 0 THEN 'unsupported_currency' END,
+  CASE WHEN page % 31 <> 0 AND NOT shown THEN 'unsupported_invoice_1' END, CASE WHEN page % 31 <> 0 AND page % 3 = 0 THEN 'unsupported_total' END], lambda x: x IS NOT NULL)), ',') AS errors FROM r
+""")
+def page_errors(spark, sf_dir):
+    """A page an order: one receipt (none on some), with words that show its facts or not."""
+    d = F.col("page")
+    r = pieces(spark, sf_dir).groupBy(F.col("document").alias("page")).agg(
+        F.min(F.col("amount").cast("string")).alias("total"), *[F.bool_or(F.col("part") % m == 0).alias(n) for m, n in ((17, "limited"), (19, "foreign"), (23, "odd"), (5, "shown"))])
+    text, none = d.cast("string"), F.array().cast("array<string>")
+    receipt = F.struct(F.lit("receipt").alias("document_type"), F.col("total"), F.when(F.col("odd"), "").otherwise("MYR").alias("currency"), F.array(F.concat(F.lit("A"), text), F.concat(F.lit("B"), text)).alias("invoice_numbers"), none.alias("limitations"))
+    money = F.array(*[F.struct(F.lit(role).alias("role"), F.col("total").alias("amount"), currency.alias("currency")) for role, currency in (("grand_total", F.lit("MYR")), ("tax", F.lit("EUR")))])
+    totals = F.array(F.struct(F.lit("Invoice Total").alias("label"), F.col("total").alias("amount"), F.when(F.col("foreign"), "USD").otherwise("MYR").alias("currency")))
+    results = r.select("page", (d % 29 != 0).alias("readable"), F.when(F.col("limited"), F.array(F.lit("cut off"))).alias("limitations"), none.alias("review_warnings"), F.when(d % 31 != 0, F.array(receipt)).alias("receipts"), money.alias("money"), totals.alias("totals"))
+    words = r.select("page", F.explode(F.array_compact(F.array(
+        F.when(d % 37 != 0, "(MYR)"), F.when(d % 3 != 0, F.concat("total", F.lit(";"))), F.when(d % 3 == 0, F.concat(F.lit("1"), "total")), F.concat(F.lit("A"), text, F.lit(": ")), F.when(F.col("shown"), F.concat(F.lit("B"), text))))).alias("text"))
+    return plain(reviews.page_errors(results, words).select("page", F.array_join("errors", ",").alias("errors")))
