@@ -220,3 +220,21 @@ def test_global_numbers_hold_over_many_partitions(spark, conf):
 
 def test_global_numbers_of_nothing(spark):
     assert reviews.global_number(spark.createDataFrame([], "k long, number int"), "k", "n").collect() == []
+
+
+@pytest.mark.parametrize("common", [0, 3, 20, 10**6])
+def test_best_texts_are_those_of_all_scores(spark, common):
+    """Whatever counts as a common word: ties, queries without rare words, words that no text has."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "a", "b", "c"] + [f"w{k}" for k in range(25)])
+    corpus = spark.createDataFrame([(i, [word() for _ in range(rng.randint(0, 12))]) for i in range(120)] + [(200 + i, ["w1", "w2"]) for i in range(6)], "doc_id long, words array<string>")
+    asked = spark.createDataFrame([(q, [word() for _ in range(rng.randint(1, 5))]) for q in range(25)] + [(90, ["a"]), (91, ["nowhere"]), (92, ["w1", "w2", "w2"]), (93, ["a", "b", "c"])], "query_id long, words array<string>")
+    every = {}
+    for r in routes.bm25(asked, corpus).collect():
+        every.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
+    got = {}
+    for r in routes.bm25_top(asked, corpus, 5, common=common).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
+    assert got == {q: sorted(rows)[:5] for q, rows in every.items()} and 91 not in got
