@@ -102,7 +102,7 @@ def test_grams_ignore_honorifics(spark):
 
 @pytest.mark.parametrize(
     ("narration", "want"),
-    [("paid ＩＮＶ１２３ now", ["a"]), ("STRASSE 99", ["b"]), ("straße99", ["b"]), ("inv 1 2 3", ["a"]), ("INV123.", []), ("x-INV123", []), ("(INV123)", ["a"]), ("INV1234", [])],
+    [("paid ＩＮＶ１２３ now", ["a"]), ("STRASSE 99", ["b"]), ("straße99", ["b"]), ("inv 1 2 3", ["a"]), ("INV123.", ["a"]), ("INV123.4", []), ("x-INV123", []), ("(INV123)", ["a"]), ("INV1234", [])],
 )
 def test_references_and_narrations_have_one_form(spark, narration, want):
     from tallyspark.operators import routes
