@@ -42,7 +42,8 @@ CALIBRATION = 256
 RECALL = 0.96
 BRANCH = 8
 MOST_LEAVES = 4096
-SHARD = 65_536
+SHARD = 65_536  # vectors, if they are short
+SHARD_BYTES = 1 << 25  # of a shard's vectors in double precision
 BLOCK = 4096
 ASK_BYTES = 1 << 25
 AXES = 8
@@ -267,7 +268,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     visits = widened(tree, trial, brute_force(points, trial, size, k), size, recall)
 
     filled = Counter({r["leaf"]: r["count"] for r in points.groupBy("leaf").count().collect()})  # one row a leaf
-    first, parts = shards_of([filled[leaf] for leaf in range(tree.leaves)], min(SHARD, -(-n // shuffle_partitions(vectors.sparkSession))))
+    first, parts = shards_of([filled[leaf] for leaf in range(tree.leaves)], min(SHARD, max(1, SHARD_BYTES // (8 * size)), -(-n // shuffle_partitions(vectors.sparkSession))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, ASK_BYTES // (visits * 8 * size))
