@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cut import checkpointed
+from .cut import checkpointed, growing
 from .reviews import global_number
 
 BATCH_LINES, PROMPT_CHARS = 20, 180_000
@@ -76,16 +76,16 @@ def affine_batches(lines: DataFrame, wanted: DataFrame, documents: DataFrame, si
     so those with documents in common are neighbours; segments of neighbours are packed greedily. A single line over the limit is a batch of its own.
     """
     needed = wanted.select("bank_id", "document").distinct().join(documents.select("document", F.col("chars").alias("doc_chars")), "document")
-    of = lambda key: needed.join(lines.select("bank_id", key), "bank_id").select(key, "document", "doc_chars").distinct()
+    of = lambda key: needed.join(growing(lines.select("bank_id", key)), "bank_id").select(key, "document", "doc_chars").distinct()
     extent = lines.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("own"))
-    extent = extent.join(of("component").groupBy("component").agg(F.sum("doc_chars").alias("docs")), "component", "left")
+    extent = extent.join(growing(of("component").groupBy("component").agg(F.sum("doc_chars").alias("docs"))), "component", "left")
     whole = extent.select("component", ((F.col("n") <= size) & (F.col("own") + F.coalesce("docs", F.lit(0)) <= limit)).alias("whole"))
-    named = lines.join(whole, "component")
+    named = lines.join(growing(whole), "component")
     as_docs = F.collect_list(F.struct(F.col("document").cast("string").alias("document"), F.col("doc_chars").cast("long").alias("chars"))).alias("docs")  # of a line or of a unit: few
 
     large = named.filter(~F.col("whole"))
     first = large.groupBy("component", "best").agg(F.min("bank_id").alias("first"))
-    rows = large.join(first, ["component", "best"]).join(needed.groupBy("bank_id").agg(as_docs), "bank_id", "left")
+    rows = large.join(growing(first), ["component", "best"]).join(growing(needed.groupBy("bank_id").agg(as_docs)), "bank_id", "left")
     rows = segments(rows, ["component", "best", "bank_id"], (F.col("bank_id") == F.col("first")) | begins(F.col("bank_id")), F.concat_ws("/", "component", "bank_id"))
     kind = dict(lines.dtypes)["bank_id"]
 
@@ -103,10 +103,10 @@ def affine_batches(lines: DataFrame, wanted: DataFrame, documents: DataFrame, si
     cuts = rows.select("segment", "bank_id", "chars", "docs").groupBy("segment").applyInPandas(cut, f"bank_id {kind}, unit string")
     units_of = checkpointed(named.filter("whole").select("bank_id", F.col("component").cast("string").alias("unit")).unionByName(cuts))
 
-    placed = lines.join(units_of, "bank_id")
+    placed = lines.join(growing(units_of), "bank_id")
     least = [F.min(F.xxhash64(F.lit(k), "document")).alias(f"least{k}") for k in range(MINIMA)]
-    docs = needed.join(units_of, "bank_id").select("unit", "document", "doc_chars").distinct().groupBy("unit").agg(as_docs, *least)
-    units = placed.groupBy("unit").agg(F.min("bank_id").alias("first"), F.count("*").alias("n"), F.sum("chars").alias("chars")).join(docs, "unit", "left")
+    docs = needed.join(growing(units_of), "bank_id").select("unit", "document", "doc_chars").distinct().groupBy("unit").agg(as_docs, *least)
+    units = placed.groupBy("unit").agg(F.min("bank_id").alias("first"), F.count("*").alias("n"), F.sum("chars").alias("chars")).join(growing(docs), "unit", "left")
     units = segments(units, [*(f"least{k}" for k in range(MINIMA)), "first"], begins(F.col("first")), F.col("first"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def affine_batches(lines: DataFrame, wanted: DataFrame, documents: DataFrame, si
         return pd.DataFrame({"unit": pdf["unit"], "batch": [f"{s}-{found[i]}" for i, s in enumerate(pdf["segment"])]})
 
     batches = units.select("segment", "unit", "first", "n", "chars", "docs").groupBy("segment").applyInPandas(pack, "unit string, batch string")
-    return placed.join(batches, "unit").select("bank_id", "component", "batch")
+    return placed.join(growing(batches), "unit").select("bank_id", "component", "batch")
 
 
 def connected_batches(lines: DataFrame, size: int) -> DataFrame:
@@ -139,11 +139,11 @@ def connected_batches(lines: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame({"component": pdf["component"], "batch": pdf["segment"] + found})
 
     fitted = small.groupBy("segment").applyInPandas(fit, f"component {dict(lines.dtypes)['component']}, batch string")
-    large = lines.join(extent.filter(F.col("n") > size).select("component"), "component", "left_semi").select("bank_id", "component", F.struct("component", "bank_id").alias("place"))
+    large = lines.join(growing(extent.filter(F.col("n") > size).select("component")), "component", "left_semi").select("bank_id", "component", F.struct("component", "bank_id").alias("place"))
     numbered = global_number(large, "place", "number")  # a component may hold a third of the lines, so none is numbered alone
     start = numbered.groupBy("component").agg(F.min("number").alias("start"))
-    sliced = numbered.join(start, "component").select("bank_id", "component", F.concat_ws("/", "component", F.floor((F.col("number") - F.col("start")) / size)).alias("batch"))
-    return lines.join(fitted, "component").select("bank_id", "component", "batch").unionByName(sliced)
+    sliced = numbered.join(growing(start), "component").select("bank_id", "component", F.concat_ws("/", "component", F.floor((F.col("number") - F.col("start")) / size)).alias("batch"))
+    return lines.join(growing(fitted), "component").select("bank_id", "component", "batch").unionByName(sliced)
 
 
 def bounded_requests(units: DataFrame, pages: int = 20, images: int = REQUEST_IMAGES, chars: int = REQUEST_CHARS, overhead: int = 0) -> DataFrame:

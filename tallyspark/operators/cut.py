@@ -16,3 +16,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: its compressed files look small, and broadcast it would pass whole through the driver."""
+    return df.hint("merge")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.operators import batches
+from tallyspark.operators import batches, groups
 
 LINE = "bank_id long, component long, best long, chars long"
 
@@ -158,3 +158,20 @@ def test_requests_equal_a_loop(spark):
             open_ = (open_[0] + 1, open_[1] + c, open_[2] + i)
             want[d, p] = request
     assert got == want
+
+
+def test_components_and_batches_broadcast_nothing_that_grows(spark, monkeypatch):
+    plans = []
+    kept = groups.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(groups, "checkpointed", noted)
+    choices = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 1), (4, "b", 1), (2, "b", 1), (9, "c", 1)], "bank_id long, item_id string, rank int")
+    lines = groups.components(choices.select("bank_id").distinct(), groups.first_owner(choices))
+    assert sorted(map(tuple, lines.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (9, 9)]
+    assert len(plans) > 1 and not any("Broadcast" in plan for plan in plans)
+    last = batches.connected_batches(lines, 3)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("component" in line for line in last if "BroadcastHashJoin" in line)
