@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.operators import duplicates, groups, joins, ledger, proposals, reviews, routes, scoring, usage
 
@@ -238,3 +239,39 @@ def test_best_texts_are_those_of_all_scores(spark, common):
     for r in routes.bm25_top(asked, corpus, 5, common=common).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
     assert got == {q: sorted(rows)[:5] for q, rows in every.items()} and 91 not in got
+
+
+def test_shortlist_of_the_index_equals_the_shortlist_of_all_pairs(spark):
+    banks = spark.createDataFrame([(1, 5, ["x"], ["p", "q"]), (2, 5, [], ["q"]), (3, None, None, []), (4, 7, ["y", "z"], ["p"])], "bank_id long, amount int, refs array<string>, tokens array<string>")
+    rows = [(i, 5 if i % 9 == 0 else 7 if i % 4 == 0 else None, ["x"] if i % 13 == 0 else ["z", "y"] if i % 11 == 0 else None, [["p"], ["q", "p"], ["q"], []][i % 7 % 4]) for i in range(120)]
+    items = spark.createDataFrame(rows, "item_id long, amount int, refs array<string>, tokens array<string>")
+    mine = {b: (a, set(r or []), set(t)) for b, a, r, t in banks.collect()}
+    want = []
+    for b, (amount, refs, tokens) in mine.items():
+        scores = {i: 40 * (amount is not None and amount == a) + 100 * bool(refs & set(r or [])) + 30 * bool(tokens & set(t)) for i, a, r, t in rows}
+        want += [(b, i, s) for i, s in scores.items() if s]
+    assert sorted(map(tuple, routes.token_index(banks, items).collect())) == sorted(want)
+    expected = routes.shortlist(spark.createDataFrame(want, "bank_id long, item_id long, score int"))
+    assert sorted(map(tuple, routes.index_shortlist(banks, items).collect())) == sorted(map(tuple, expected.collect()))
+    plan = routes.token_index(banks, items)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan  # no pair is shuffled once more
+    by_items = [r for r in routes.index_shortlist(banks, items)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in r]
+    assert len(by_items) == 1
+
+
+def test_best_amounts_equal_the_best_of_all_pairs(spark):
+    from decimal import Decimal as D
+
+    days = ["2024-01-01", "2024-01-03", "2024-02-01", None]
+    banks = spark.createDataFrame([(b, D(100 + b % 5 * 3) / 100 if b % 6 else None, days[b % 4]) for b in range(24)], "bank_id long, bank_amount decimal(18,2), d string").selectExpr("bank_id", "bank_amount", "cast(d as date) bank_date")
+    items = spark.createDataFrame([(f"i{i}", D(95 + i % 20) / 100 if i % 17 else None, days[i * 7 % 4]) for i in range(200)], "item_id string, amount decimal(18,2), d string").selectExpr("item_id", "amount", "cast(d as date) item_date")
+    pairs = routes.amount_route(banks, items)
+    rank = F.row_number().over(Window.partitionBy("bank_id").orderBy(F.coalesce("gap", F.lit(routes.NO_GAP)), "item_id"))
+    want = pairs.withColumn("rank", rank).filter("rank <= 4")
+    assert want.count() == 80 and sorted(map(str, routes.amount_top(banks, items, 4).collect())) == sorted(map(str, want.collect()))
+    alone = proposals.fastlane(pairs).select("bank_id", "item_id", "difference", "gap")
+    lonely = banks.filter("bank_id in (1, 2)"), items.filter("item_id in ('i3', 'i16')")
+    for b, i in ((banks, items), lonely):
+        alone = proposals.fastlane(routes.amount_route(b, i)).select("bank_id", "item_id", "difference", "gap")
+        assert sorted(map(str, routes.amount_alone(b, i).collect())) == sorted(map(str, alone.collect()))
+    assert routes.amount_alone(*lonely).count() > 0
