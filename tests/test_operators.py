@@ -275,3 +275,14 @@ def test_best_amounts_equal_the_best_of_all_pairs(spark):
         alone = proposals.fastlane(routes.amount_route(b, i)).select("bank_id", "item_id", "difference", "gap")
         assert sorted(map(str, routes.amount_alone(b, i).collect())) == sorted(map(str, alone.collect()))
     assert routes.amount_alone(*lonely).count() > 0
+
+
+def test_names_that_can_take_no_slot_make_no_pairs(spark):
+    """Twelve items of the best name fill the slots, so the next name's hundred are left out; without enough of agreeing currency it stays."""
+    rows = [(f"a{i:03}", "acme trading", "MYR" if i < 12 else "SGD", [dt.date(2025, 1, 1 + i % 20)]) for i in range(24)] + [(f"b{i:03}", "acme tradings", None, [dt.date(2025, 1, 1)]) for i in range(100)]
+    items = spark.createDataFrame(rows, "item_id string, name string, currency string, dates array<date>")
+    banks = spark.createDataFrame([(1, "acme trading", "MYR"), (2, "acme trading", None), (3, "acme tradings", "SGD")], "bank_id long, name string, currency string")
+    got = routes.best_names(banks, items, 10).groupBy("bank_id", F.substring("item_id", 1, 1).alias("k")).count()
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 12), (2, "a", 24), (3, "b", 10)]
+    asked = spark.createDataFrame([(1, "a003")], "bank_id long, item_id string")
+    assert [tuple(r)[:2] for r in routes.name_route(banks.select("bank_id", "name"), items.select("item_id", "name"), 0.0, asked).collect()] == [(1, "a003")]
