@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,3 +22,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def growing(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the data: its compressed files look small, and broadcast it would pass whole through the driver."""
     return df.hint("merge")
+
+
+def measured(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """A side of a join that is small as a rule: written, counted, and broadcast if it has at most `most` rows; else it is one that grows."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else growing(kept)

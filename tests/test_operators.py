@@ -1,6 +1,7 @@
 """Operators on small labelled cases."""
 
 import datetime as dt
+import math
 from decimal import Decimal as D
 
 import pytest
@@ -241,6 +242,17 @@ def test_best_texts_are_those_of_all_scores(spark, common):
     assert got == {q: sorted(rows)[:5] for q, rows in every.items()} and 91 not in got
 
 
+def test_few_asked_words_shuffle_no_postings(spark):
+    """Asked words are few, so texts' words meet them where they are; texts without words or with nulls among them are counted all the same."""
+    corpus = spark.createDataFrame([(1, ["a", "b", None]), (2, ["a", "a"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    asked = spark.createDataFrame([(1, ["a", None]), (2, ["b", "b", "c"])], "query_id long, words array<string>")
+    for found in (routes.bm25(asked, corpus), routes.bm25_top(asked, corpus, 5), routes.bm25_top(asked, corpus, 5, common=0)):
+        assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(1, 1), (1, 2), (2, 1)]
+        assert round(found.filter("query_id = 2").first()["score"], 6) == round(math.log1p(3.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3))), 6)
+    joins_of = lambda found: found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert joins_of(routes.bm25(asked, corpus)) == 0 and joins_of(routes.bm25_top(asked, corpus, 5)) <= 1  # of texts that rare words met
+
+
 def test_shortlist_of_the_index_equals_the_shortlist_of_all_pairs(spark):
     banks = spark.createDataFrame([(1, 5, ["x"], ["p", "q"]), (2, 5, [], ["q"]), (3, None, None, []), (4, 7, ["y", "z"], ["p"])], "bank_id long, amount int, refs array<string>, tokens array<string>")
     rows = [(i, 5 if i % 9 == 0 else 7 if i % 4 == 0 else None, ["x"] if i % 13 == 0 else ["z", "y"] if i % 11 == 0 else None, [["p"], ["q", "p"], ["q"], []][i % 7 % 4]) for i in range(120)]
