@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import MONEY, normalize_currency
-from .cut import checkpointed
+from .cut import checkpointed, growing
 
 DEFAULT_CURRENCY = "MYR"
 PROBLEMS_SHOWN = 100
@@ -325,11 +325,10 @@ def page_errors(results: DataFrame, words: DataFrame, key: str = "page") -> Data
     cell = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
     numbers = lambda r: F.transform(F.coalesce(r["invoice_numbers"], F.array().cast("array<string>")), lambda v, n: cell(F.concat(F.lit("invoice_"), n.cast("string")), v))
     cells = F.flatten(F.transform(receipts, lambda r: F.concat(F.array(cell(F.lit("total"), r["total"]), cell(F.lit("currency"), r["currency"])), numbers(r))))
-    printed = words.select(key, F.btrim("text", F.lit(STRIPPED)).alias("value")).distinct()
-    lacking = results.select(key, F.explode(cells).alias("c")).select(key, "c.*").filter(~blank(F.col("value"))).distinct().join(printed, [key, "value"], "left_anti")
-    unsupported = lacking.groupBy(key).agg(F.collect_set(F.concat(F.lit("unsupported_"), "field")).alias("unsupported"))  # of one page
-    both = results.select(key, own.alias("own")).join(unsupported, key, "left")
-    return both.select(key, F.array_sort(F.array_distinct(F.concat("own", F.coalesce("unsupported", F.array().cast("array<string>"))))).alias("errors"))
+    printed = words.groupBy(key).agg(F.collect_set(F.btrim("text", F.lit(STRIPPED))).alias("printed"))  # of one page
+    both = results.select(key, own.alias("own"), F.filter(cells, lambda c: ~blank(c["value"])).alias("cells")).join(growing(printed), key, "left")
+    lacking = F.filter("cells", lambda c: ~F.array_contains(F.coalesce("printed", F.array().cast("array<string>")), c["value"]))
+    return both.select(key, F.array_sort(F.array_distinct(F.concat("own", F.transform(lacking, lambda c: F.concat(F.lit("unsupported_"), c["field"]))))).alias("errors"))
 
 
 def resumable(requests: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

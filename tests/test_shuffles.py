@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from tallyspark.operators import proposals
+from tallyspark.operators import proposals, reviews
 
 MONEY = "decimal(18,2)"
 
@@ -36,3 +36,13 @@ def test_guard_shuffles_proposals_twice(spark, shuffles):
     found = proposals.over_allocated(asked, capacity)
     assert sorted((r["bank_id"], r["assessment"]) for r in found.collect()) == [(1, "tentative"), (2, "tentative"), (2, "tentative"), (3, "strong"), (4, "strong"), (5, "strong"), (6, "strong")]
     assert shuffles(found) <= 4
+
+
+def test_page_errors_shuffle_words_once(spark, shuffles):
+    receipt = "struct<document_type:string,total:string,currency:string,invoice_numbers:array<string>,limitations:array<string>>"
+    row = lambda page: (page, True, None, None, [("receipt", "5.00", "MYR", ["A1", None, "A2"], [])], None, None)
+    results = spark.createDataFrame([row(1), row(2)], f"page int, readable boolean, limitations array<string>, review_warnings array<string>, receipts array<{receipt}>, money array<struct<role:string,amount:string,currency:string>>, totals array<struct<label:string,amount:string,currency:string>>")
+    words = spark.createDataFrame([(1, "(5.00);"), (1, "MYR"), (1, "A2:"), (1, None), (3, "A1")], "page int, text string")
+    found = reviews.page_errors(results, words)
+    assert {r["page"]: r["errors"] for r in found.collect()} == {1: ["unsupported_invoice_0"], 2: ["unsupported_currency", "unsupported_invoice_0", "unsupported_invoice_2", "unsupported_total"]}
+    assert shuffles(found) <= 2
