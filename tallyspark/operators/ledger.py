@@ -42,15 +42,14 @@ def statement_totals(rows: DataFrame, statement: str) -> DataFrame:
 def validate_statement(rows: DataFrame, printed: DataFrame, statement: str, order: list[str]) -> DataFrame:
     """Rows (statement, check) of every check that fails: sides, balances, closing balance, totals and counts."""
     balanced = running_balance(rows, statement, order)
-    sides = balanced.filter(~one_sided(F.col("money_in"), F.col("money_out"))).select(statement, F.lit("one positive side").alias("check")).distinct()
-    balances = balance_violations(balanced, statement, order).select(statement, F.lit("balance").alias("check"))
-    closing = balanced.groupBy(statement).agg(F.max_by("calculated", F.struct(*order)).alias("end"))
-    totals = statement_totals(rows, statement).join(closing, statement).join(printed, statement)
-    checks = [("closing balance", F.col("end") != F.col("closing")), ("money in", F.col("total_in") != F.col("printed_in")), ("money out", F.col("total_out") != F.col("printed_out"))]
-    out = sides.unionByName(balances)
-    for name, fails in checks:
-        out = out.unionByName(totals.filter(fails).select(statement, F.lit(name).alias("check")))
-    return out
+    # One pass over the rows: the sums stand where the running balance was taken.
+    facts = balanced.groupBy(statement).agg(
+        F.bool_or(~one_sided(F.col("money_in"), F.col("money_out"))).alias("sides"), F.bool_or(F.col("balance").isNotNull() & (F.col("calculated") != F.col("balance"))).alias("wrong"),
+        F.max_by("calculated", F.struct(*order)).alias("end"), F.sum("money_in").cast("decimal(18,2)").alias("total_in"), F.sum("money_out").cast("decimal(18,2)").alias("total_out"),
+    )
+    totals = facts.join(printed, statement, "left")
+    checks = [("one positive side", F.col("sides")), ("balance", F.col("wrong")), ("closing balance", F.col("end") != F.col("closing")), ("money in", F.col("total_in") != F.col("printed_in")), ("money out", F.col("total_out") != F.col("printed_out"))]
+    return totals.select(statement, F.explode(F.array_compact(F.array(*[F.when(fails, name) for name, fails in checks]))).alias("check"))
 
 
 def dates_out_of_order(rows: DataFrame, partition: list[str], order: list[str], date: str) -> DataFrame:

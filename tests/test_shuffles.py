@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from tallyspark.operators import proposals, reviews
+from tallyspark.operators import ledger, proposals, reviews
 
 MONEY = "decimal(18,2)"
 
@@ -46,3 +46,11 @@ def test_page_errors_shuffle_words_once(spark, shuffles):
     found = reviews.page_errors(results, words)
     assert {r["page"]: r["errors"] for r in found.collect()} == {1: ["unsupported_invoice_0"], 2: ["unsupported_currency", "unsupported_invoice_0", "unsupported_invoice_2", "unsupported_total"]}
     assert shuffles(found) <= 2
+
+
+def test_statements_are_validated_in_one_pass(spark, shuffles):
+    rows = spark.createDataFrame([(1, 1, D(0), D(5), D(0), D(5)), (1, 2, D(0), D(0), D(2), D(9)), (2, 1, D(0), D(1), D(1), None), (3, 1, D(0), D(5), D(0), D(5))], f"s int, n int, opening {MONEY}, money_in {MONEY}, money_out {MONEY}, balance {MONEY}")
+    printed = spark.createDataFrame([(1, D(4), D(6), D(2)), (2, D(0), D(1), D(2))], f"s int, closing {MONEY}, printed_in {MONEY}, printed_out {MONEY}")
+    found = ledger.validate_statement(rows, printed, "s", ["n"])
+    assert sorted(map(tuple, found.collect())) == [(1, "balance"), (1, "closing balance"), (1, "money in"), (2, "money out"), (2, "one positive side")]
+    assert shuffles(found) <= 2
