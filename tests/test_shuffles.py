@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from tallyspark.operators import ledger, proposals, reviews
+from tallyspark.operators import groups, ledger, proposals, reviews
 
 MONEY = "decimal(18,2)"
 
@@ -54,3 +54,16 @@ def test_statements_are_validated_in_one_pass(spark, shuffles):
     found = ledger.validate_statement(rows, printed, "s", ["n"])
     assert sorted(map(tuple, found.collect())) == [(1, "balance"), (1, "closing balance"), (1, "money in"), (2, "money out"), (2, "one positive side")]
     assert shuffles(found) <= 2
+
+
+def test_subsets_of_other_sums_are_not_multiplied_out(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    cases = {k: [D(rng.randint(-3, 6)) / 4 * 10 ** rng.choice([0, 0, 13]) for _ in range(rng.randint(2, 7))] for k in range(30)}
+    rows = [(k, D(3) if k % 9 else None, k, f"i{j}", a) for k, amounts in cases.items() for j, a in enumerate(amounts)]
+    found = groups.exact_subsets(spark.createDataFrame(rows, f"bank_id long, bank_amount {MONEY}, claim_group long, item_id string, amount {MONEY}"))
+    want = [(k, [f"i{j}" for j in c]) for k, amounts in cases.items() if k % 9 for n in range(2, 8) for c in itertools.combinations(range(len(amounts)), n) if sum(amounts[j] for j in c) == 3]
+    assert want and sorted((r["bank_id"], r["items"]) for r in found.collect()) == sorted(want)
+    assert "explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
