@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import bank_cell
-from .statements import Layout, lines_of, statement_rows
+from .statements import Layout, gathered, placed_lines, printed_text, rows_of_lines
 
 COVER, WHOLE, LAST = "cover", "whole", "last"
 
@@ -263,15 +263,11 @@ def ambank_statement(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Opening balance and totals must stand once each; else they are unknown.
     """
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ").alias("text")
-    lines = words.groupBy("source", "page", "line").agg(text)
+    lines = gathered(words).withColumn("text", printed_text(F.col("words")))
     inside = table_lines(lines, AMBANK_HEADER, [AMBANK_TOTAL], AMBANK_SKIPPED)
-    place = ["source", "page", "line"]
     brought = F.col("text").startswith(AMBANK_OPENING)
-    rows = statement_rows(words.join(inside.filter(~brought).select(place), place, "left_semi"), AMBANK_TABLE)
-    printed = lines_of(words.join(lines.filter(brought | F.col("text").startswith(AMBANK_TOTAL)).withColumn("opens", brought).select(*place, "opens"), place, "left_semi"), AMBANK_TABLE)
-    opens = lines.filter(brought).select(*place, F.lit(True).alias("opens"))
-    marked = printed.join(opens, place, "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    rows = rows_of_lines(placed_lines(inside.filter(~brought), AMBANK_TABLE), AMBANK_TABLE)
+    marked = placed_lines(lines.filter(brought | F.col("text").startswith(AMBANK_TOTAL)).withColumn("opens", brought), AMBANK_TABLE, "opens")
     cell = lambda c, when: bank_cell(F.trim(one(F.collect_list(F.when(when, F.coalesce(F.col(c), F.lit("")))))))
     controls = marked.groupBy("source").agg(cell("balance", F.col("opens")).alias("opening"), cell("money_out", ~F.col("opens")).alias("debit"), cell("money_in", ~F.col("opens")).alias("credit"))
     return rows, controls

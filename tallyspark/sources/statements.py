@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,17 +22,37 @@ class Layout:
     newest_first: bool = False
 
 
+def gathered(words: DataFrame) -> DataFrame:
+    """One row a line (source, page, line, words), words being structs of x and text from left to right. A statement is in one partition, as its rows will be."""
+    return words.select("source", "page", "line", "x", "text").repartition("source").groupBy("source", "page", "line").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("words"))
+
+
+def printed_text(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
+def placed_lines(lines: DataFrame, layout: Layout, *more: str) -> DataFrame:
+    """The lines of `gathered` with a text column for each column of the layout, without lines that have no word in any of them."""
+    ranges = list(layout.columns.items())
+    first = lambda k, x: (x >= ranges[k][1][0]) & (x < ranges[k][1][1]) & ~F.coalesce(*[F.when((x >= a) & (x < b), True) for _, (a, b) in ranges[:k]], F.lit(False))
+    within = lambda k: F.filter("words", lambda w: F.coalesce(first(k, w["x"]), F.lit(False)))
+    cells = {n: within(k) for k, (n, _) in enumerate(ranges)}
+    some = F.exists("words", lambda w: F.coalesce(*[F.when((w["x"] >= a) & (w["x"] < b), True) for _, (a, b) in ranges], F.lit(False)))
+    return lines.filter(some).select("source", "page", "line", *more, *[F.when(F.size(c) > 0, printed_text(c)).alias(n) for n, c in cells.items()])
+
+
 def lines_of(words: DataFrame, layout: Layout) -> DataFrame:
     """One row a line with a text column for each column of the layout: words (source, page, line, x, text)."""
-    which = F.coalesce(*[F.when((F.col("x") >= a) & (F.col("x") < b), F.lit(n)) for n, (a, b) in layout.columns.items()])
-    placed = words.withColumn("_c", which).filter("_c is not null")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ")
-    return placed.groupBy("source", "page", "line").pivot("_c", list(layout.columns)).agg(text)
+    return placed_lines(gathered(words), layout)
 
 
 def statement_rows(words: DataFrame, layout: Layout) -> DataFrame:
     """Rows (source, sequence, page, date_text, narration, money_in, money_out, balance)."""
-    lines = lines_of(words, layout)
+    return rows_of_lines(lines_of(words, layout), layout)
+
+
+def rows_of_lines(lines: DataFrame, layout: Layout) -> DataFrame:
+    """The same from the lines of `placed_lines`."""
     for side in ("money_in", "money_out", "balance"):
         lines = lines.withColumn(side, bank_cell(F.trim(side)) if side in layout.columns else F.lit(None).cast("decimal(18,2)"))
     place = Window.partitionBy("source").orderBy("page", "line")
