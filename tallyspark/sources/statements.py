@@ -32,13 +32,13 @@ def printed_text(words: Column) -> Column:
 
 
 def placed_lines(lines: DataFrame, layout: Layout, *more: str) -> DataFrame:
-    """The lines of `gathered` with a text column for each column of the layout, without lines that have no word in any of them."""
+    """The lines of `gathered` with a text column for each column of the layout ("" where it has no word), without lines that have no word in any of them."""
     ranges = list(layout.columns.items())
     first = lambda k, x: (x >= ranges[k][1][0]) & (x < ranges[k][1][1]) & ~F.coalesce(*[F.when((x >= a) & (x < b), True) for _, (a, b) in ranges[:k]], F.lit(False))
     within = lambda k: F.filter("words", lambda w: F.coalesce(first(k, w["x"]), F.lit(False)))
     cells = {n: within(k) for k, (n, _) in enumerate(ranges)}
     some = F.exists("words", lambda w: F.coalesce(*[F.when((w["x"] >= a) & (w["x"] < b), True) for _, (a, b) in ranges], F.lit(False)))
-    return lines.filter(some).select("source", "page", "line", *more, *[F.when(F.size(c) > 0, printed_text(c)).alias(n) for n, c in cells.items()])
+    return lines.filter(some).select("source", "page", "line", *more, *[printed_text(c).alias(n) for n, c in cells.items()])
 
 
 def lines_of(words: DataFrame, layout: Layout) -> DataFrame:

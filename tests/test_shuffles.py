@@ -73,7 +73,7 @@ def test_subsets_of_other_sums_are_not_multiplied_out(spark):
 def test_a_statement_is_read_where_its_words_are(spark, shuffles):
     layout = statements.Layout("l", {"date": (0, 100), "narration": (50, 200), "money_in": (200, 300)})
     words = spark.createDataFrame([("s", 1, 1, 250.0, "5.00"), ("s", 1, 1, 60.0, "Jan"), ("s", 1, 1, 10.0, "01"), ("s", 1, 2, 120.0, "b"), ("s", 1, 2, 110.0, "a"), ("s", 1, 2, 105.0, None), ("s", 1, 3, 300.0, "x"), ("s", 1, 4, None, "y")], "source string, page int, line int, x double, text string")
-    assert sorted(map(tuple, statements.lines_of(words, layout).collect())) == [("s", 1, 1, "01 Jan", None, "5.00"), ("s", 1, 2, None, "a b", None)]
+    assert sorted(map(tuple, statements.lines_of(words, layout).collect())) == [("s", 1, 1, "01 Jan", "", "5.00"), ("s", 1, 2, "", "a b", "")]
     assert [tuple(r)[1:6] for r in statements.statement_rows(words, layout).select("source", "sequence", "page", "date_text", "narration", "money_in").collect()] == [(1, 1, "01 Jan", "a b", D("5.00"))]
     rows, controls = banks.ambank_statement(words)
     assert shuffles(rows) <= 1 and shuffles(controls) <= 1
