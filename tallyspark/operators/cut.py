@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -28,3 +29,11 @@ def measured(df: DataFrame, most: int = 300_000) -> DataFrame:
     """A side of a join that is small as a rule: written, counted, and broadcast if it has at most `most` rows; else it is one that grows."""
     kept = checkpointed(df)
     return F.broadcast(kept) if kept.limit(most + 1).count() <= most else growing(kept)
+
+
+def spread(df: DataFrame, *keys: str, most: int = 250_000) -> DataFrame:
+    """The rows, those of equal keys in one partition, some `most` rows a partition: with the table their number grows, not what a task holds.
+
+    The rows are counted first, so this is for tables as they are read, whose files tell the count.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / most)), *keys)

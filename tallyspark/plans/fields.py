@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions import text as T
 from ..operators import groups, ledger, proposals, routes, scoring, usage
+from ..operators.cut import spread
 from ..sources import files, statements
 from .standins import BANKS, PIECES, bank_lines, pieces, plain, query, table
 
@@ -155,8 +156,9 @@ c AS (SELECT *, count(*) FILTER (p) OVER (PARTITION BY bank_id ORDER BY o ROWS U
 SELECT bank_id, item_id, p AS "primary" FROM c WHERE (p AND np <= 40) OR (NOT p AND score > 0 AND NOT conflict AND nt <= greatest(10 - all_p, 0))
 """)
 def retrieval_slots(spark, sf_dir):
-    facts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("bank_id"), F.col("l_partkey").alias("item_id")).agg(
-        (F.max("l_quantity") > 45).alias("has_ref"), F.bool_or(F.col("l_linenumber") % 2 == 0).alias("name"), F.bool_or(F.col("l_linenumber") % 3 == 0).alias("amount"), (F.max("l_quantity").cast("int") % 7).alias("score"), (F.min("l_orderkey") % 50).alias("gap"), (F.first("l_partkey") % 9 == 0).alias("conflict")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bank_id"), F.col("l_partkey").alias("item_id"), "l_quantity", "l_linenumber", "l_orderkey")
+    facts = spread(lines, "bank_id").groupBy("bank_id", "item_id").agg(
+        (F.max("l_quantity") > 45).alias("has_ref"), F.bool_or(F.col("l_linenumber") % 2 == 0).alias("name"), F.bool_or(F.col("l_linenumber") % 3 == 0).alias("amount"), (F.max("l_quantity").cast("int") % 7).alias("score"), (F.min("l_orderkey") % 50).alias("gap"), (F.col("item_id") % 9 == 0).alias("conflict")
     )
     return plain(routes.retrieval_slots(facts).select("bank_id", "item_id", "primary"))
 

@@ -77,3 +77,24 @@ def test_a_statement_is_read_where_its_words_are(spark, shuffles):
     assert [tuple(r)[1:6] for r in statements.statement_rows(words, layout).select("source", "sequence", "page", "date_text", "narration", "money_in").collect()] == [(1, 1, "01 Jan", "a b", D("5.00"))]
     rows, controls = banks.ambank_statement(words)
     assert shuffles(rows) <= 1 and shuffles(controls) <= 1
+
+
+def test_retrieval_slots_shuffle_pieces_once_into_parts_of_bounded_size(spark, shuffles, tmp_path):
+    import random
+
+    from tallyspark.operators import cut
+    from tallyspark.plans import fields, standins
+
+    from .oracle import assert_same
+
+    rng = random.Random(5)
+    pick = lambda *values: rng.choice(values)
+    rows = [(pick(1, 1, 1, 2, 3, 4, None), rng.randrange(120) if rng.random() < 0.97 else None, pick(1, 2, 3, 4, 5, 6, None), pick(3.0, 8.0, 14.0, 45.0, 46.0, 50.0, None) if rng.random() < 0.3 else 10.0, rng.randrange(90)) for _ in range(900)]
+    rows += [(9, k, 1, 10.0 + k, k) for k in range(12)] + [(10, k, None, 10.0, k) for k in range(3)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/many")
+    (next((tmp_path / "many").glob("*.parquet"))).rename(tmp_path / "lineitem.parquet")
+    found = fields.retrieval_slots(spark, str(tmp_path))
+    assert shuffles(found) <= 1
+    assert_same(spark, fields.retrieval_slots, standins.SQL["retrieval_slots"], str(tmp_path))
+    few = cut.spread(spark.range(1000).selectExpr("id % 40 as k"), "k", most=100)
+    assert few.rdd.getNumPartitions() == 10 and few.distinct().count() == 40
