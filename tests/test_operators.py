@@ -312,3 +312,33 @@ def test_names_that_can_take_no_slot_make_no_pairs(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "a", 12), (2, "a", 24), (3, "b", 10)]
     asked = spark.createDataFrame([(1, "a003")], "bank_id long, item_id string")
     assert [tuple(r)[:2] for r in routes.name_route(banks.select("bank_id", "name"), items.select("item_id", "name"), 0.0, asked).collect()] == [(1, "a003")]
+
+
+def aggregated(df):
+    """Rows that each aggregate of an executed plan gave."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.endswith("AggregateExec"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [children.apply(k) for k in range(children.size())]
+    return out
+
+
+def test_only_ids_of_several_names_have_their_pairs_compared(spark):
+    names = ["acme trading", "acme tradings", "acme trader", "beta", "gamma works", None]
+    banks = spark.createDataFrame([(b, names[b % 6]) for b in range(300)], "bank_id long, name string")
+    items = spark.createDataFrame([(f"i{k}", names[k % 6]) for k in range(40)], "item_id string, name string")
+    more_banks = banks.unionByName(spark.createDataFrame([(0, names[0]), (1, names[0]), (1, None), (2, names[4]), (None, names[0]), (None, names[1])], banks.schema))
+    more_items = items.unionByName(spark.createDataFrame([("i0", names[0]), ("i1", names[0]), ("i3", names[4]), (None, names[2]), (None, names[0])], items.schema))
+    for b, i in ((banks, items), (more_banks, items), (banks, more_items), (more_banks, more_items)):
+        near = routes.alike_names(b, i, 0.35)
+        want = near.join(i.withColumnRenamed("name", "item_name"), "item_name").join(b.withColumnRenamed("name", "bank_name"), "bank_name").groupBy("bank_id", "item_id").agg(F.max("name").alias("name"))
+        rows = lambda frame: sorted((-1 if r["bank_id"] is None else r["bank_id"], r["item_id"] or "", round(r["name"], 9)) for r in frame.collect())
+        found = routes.name_route(b, i)
+        assert rows(found) == rows(want)
+    found = routes.name_route(banks, items)
+    pairs = len(found.collect())
+    assert pairs > 2000 and max(aggregated(found)) <= 300
