@@ -175,3 +175,41 @@ def test_components_and_batches_broadcast_nothing_that_grows(spark, monkeypatch)
     assert len(plans) > 1 and not any("Broadcast" in plan for plan in plans)
     last = batches.connected_batches(lines, 3)._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not any("component" in line for line in last if "BroadcastHashJoin" in line)
+
+
+def least_reachable(nodes, edges):
+    up = {n: n for n in nodes}
+    for _ in nodes:
+        for u, v in edges:
+            up[u] = up[v] = min(up[u], up[v])
+    return up
+
+
+@pytest.mark.parametrize("few", [0, 5, 300_000])
+def test_components_write_what_is_left_and_settle_the_last_edges_at_once(spark, monkeypatch, few):
+    rng = random.Random(8)
+    chain = [(k, k + 1) for k in range(100, 140)]
+    star = [(200, 200 + k) for k in range(1, 30)] + [(229, 50)]
+    loose = [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(35)]
+    edges, nodes = chain + star + loose + [(7, 7), (None, 3), (1, 0)], [*range(360), None]
+    written = []
+    kept = groups.checkpointed
+
+    def noted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(groups, "checkpointed", noted)
+    monkeypatch.setattr(groups, "FEW", few, raising=False)
+    got = groups.components(spark.createDataFrame([(n,) for n in nodes], "bank_id long"), spark.createDataFrame(edges, "bank_id long, owner long"))
+    assert {r["bank_id"]: r["component"] for r in got.collect()} == {None: None, **least_reachable(range(360), [e for e in edges if None not in e])}
+    assert written.count(361) == 1  # only the result has a row for each node
+    assert few < 300_000 or len(written) == 2
+
+
+def test_segments_stream_through_as_many_tasks_as_shuffles_have(spark):
+    rows = spark.createDataFrame([(f"s{k % 40}", f"n{k:03d}", k) for k in range(400)], "segment string, unit string, n long")
+    seen = batches.each_segment(rows, "n", lambda own: [f"{own[0][0]}:{len(own)}:{at}:{row[2]}" for at, row in enumerate(own)], "batch")
+    assert {tuple(r) for r in seen.collect()} == {(f"n{k:03d}", f"s{k % 40}:10:{k // 40}:{k}") for k in range(400)}
+    assert seen.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
