@@ -7,9 +7,8 @@ in a task of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,38 @@ def segments(rows: DataFrame, order: list[str], starts: Column, name: Column) ->
     return found.withColumn("segment", F.coalesce("_own", "_before", F.lit(""))).drop("_name", "_id", "_part", "_own", "_before")
 
 
+def each_segment(rows: DataFrame, order: str, work: Callable[[list[tuple]], list], kind: str) -> DataFrame:
+    """Rows (name, value): from rows (segment, name, ...), what `work` gives for each row of a segment, these in the order of a column.
+
+    Segments are short and many, so they stream through the tasks one after the other; tasks are as many as shuffles have, however few bytes there are.
+    """
+    names = rows.columns
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        kept: list = []  # (name, value)
+        own = None
+        for batch in batches:
+            own = batch.schema.field(1).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    kept += zip((r[1] for r in held), work(held), strict=True)
+                    held = []
+                held.append(row)
+            yield from out(kept, own)
+            kept = []
+        if held:
+            yield from out(list(zip((r[1] for r in held), work(held), strict=True)), own)
+
+    def out(kept: list, own: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], own), pa.array([v for _, v in kept], pa.string())], [names[1], kind])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "segment").sortWithinPartitions("segment", order).mapInArrow(run, f"{names[1]} {kinds[names[1]]}, {kind} string")
+
+
 def fitting(chars: int, documents: dict, more_chars: int, more: dict) -> int:
     """Characters of a batch with more lines; each document counts once."""
     return chars + more_chars + sum(documents.values()) + sum(c for d, c in more.items() if d not in documents)
@@ -75,32 +106,31 @@ def affine_batches(lines: DataFrame, wanted: DataFrame, documents: DataFrame, si
     candidate and then into consecutive chunks. Components and chunks are sorted by the least hashes of their documents,
     so those with documents in common are neighbours; segments of neighbours are packed greedily. A single line over the limit is a batch of its own.
     """
-    needed = wanted.select("bank_id", "document").distinct().join(documents.select("document", F.col("chars").alias("doc_chars")), "document")
+    lines = checkpointed(lines.select("bank_id", "component", "best", "chars"))  # what several steps read is written once
+    needed = checkpointed(wanted.select("bank_id", "document").distinct().join(documents.select("document", F.col("chars").alias("doc_chars")), "document"))
     of = lambda key: needed.join(growing(lines.select("bank_id", key)), "bank_id").select(key, "document", "doc_chars").distinct()
     extent = lines.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("own"))
     extent = extent.join(growing(of("component").groupBy("component").agg(F.sum("doc_chars").alias("docs"))), "component", "left")
     whole = extent.select("component", ((F.col("n") <= size) & (F.col("own") + F.coalesce("docs", F.lit(0)) <= limit)).alias("whole"))
-    named = lines.join(growing(whole), "component")
+    named = checkpointed(lines.join(growing(whole), "component"))
     as_docs = F.collect_list(F.struct(F.col("document").cast("string").alias("document"), F.col("doc_chars").cast("long").alias("chars"))).alias("docs")  # of a line or of a unit: few
 
     large = named.filter(~F.col("whole"))
     first = large.groupBy("component", "best").agg(F.min("bank_id").alias("first"))
     rows = large.join(growing(first), ["component", "best"]).join(growing(needed.groupBy("bank_id").agg(as_docs)), "bank_id", "left")
     rows = segments(rows, ["component", "best", "bank_id"], (F.col("bank_id") == F.col("first")) | begins(F.col("bank_id")), F.concat_ws("/", "component", "bank_id"))
-    kind = dict(lines.dtypes)["bank_id"]
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bank_id")
+    def cut(own: list[tuple]) -> list[str]:
         k, n, chars, held, found = -1, size, 0, {}, []
-        for own, docs in zip(pdf["chars"], pdf["docs"], strict=True):
-            more = {d["document"]: d["chars"] for d in docs} if docs is not None else {}
-            if n >= size or fitting(chars, held, own, more) > limit:
+        for segment, _, more_chars, docs in own:
+            more = {d["document"]: d["chars"] for d in docs or []}
+            if n >= size or fitting(chars, held, more_chars, more) > limit:
                 k, n, chars, held = k + 1, 0, 0, {}
-            n, chars, held = n + 1, chars + own, held | more
-            found.append(k)
-        return pd.DataFrame({"bank_id": pdf["bank_id"], "unit": [f"{s}/{k}" for s, k in zip(pdf["segment"], found, strict=True)]})
+            n, chars, held = n + 1, chars + more_chars, held | more
+            found.append(f"{segment}/{k}")
+        return found
 
-    cuts = rows.select("segment", "bank_id", "chars", "docs").groupBy("segment").applyInPandas(cut, f"bank_id {kind}, unit string")
+    cuts = each_segment(rows.select("segment", "bank_id", "chars", "docs"), "bank_id", cut, "unit")
     units_of = checkpointed(named.filter("whole").select("bank_id", F.col("component").cast("string").alias("unit")).unionByName(cuts))
 
     placed = lines.join(growing(units_of), "bank_id")
@@ -109,13 +139,12 @@ def affine_batches(lines: DataFrame, wanted: DataFrame, documents: DataFrame, si
     units = placed.groupBy("unit").agg(F.min("bank_id").alias("first"), F.count("*").alias("n"), F.sum("chars").alias("chars")).join(growing(docs), "unit", "left")
     units = segments(units, [*(f"least{k}" for k in range(MINIMA)), "first"], begins(F.col("first")), F.col("first"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", ignore_index=True)
-        each = [(f, int(n), int(c), {d["document"]: d["chars"] for d in docs} if docs is not None else {}) for f, n, c, docs in zip(pdf["first"], pdf["n"], pdf["chars"], pdf["docs"], strict=True)]
+    def pack(own: list[tuple]) -> list[str]:
+        each = [(first, n, chars, {d["document"]: d["chars"] for d in docs or []}) for _, _, first, n, chars, docs in own]
         found = {i: k for k, batch in enumerate(packed(each, size, limit)) for i in batch}
-        return pd.DataFrame({"unit": pdf["unit"], "batch": [f"{s}-{found[i]}" for i, s in enumerate(pdf["segment"])]})
+        return [f"{u[0]}-{found[i]}" for i, u in enumerate(own)]
 
-    batches = units.select("segment", "unit", "first", "n", "chars", "docs").groupBy("segment").applyInPandas(pack, "unit string, batch string")
+    batches = each_segment(units.select("segment", "unit", "first", "n", "chars", "docs"), "first", pack, "batch")
     return placed.join(growing(batches), "unit").select("bank_id", "component", "batch")
 
 
@@ -128,17 +157,16 @@ def connected_batches(lines: DataFrame, size: int) -> DataFrame:
     extent = lines.groupBy("component").agg(F.count("*").alias("n"))
     small = segments(extent.filter(F.col("n") <= size), ["component"], begins(F.col("component")), F.col("component"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component")
+    def fit(own: list[tuple]) -> list[str]:
         k, used, found = 0, 0, []
-        for n in pdf["n"]:
+        for segment, _, n in own:
             if used + n > size:
                 k, used = k + 1, 0
             used += n
-            found.append(f"-{k}")
-        return pd.DataFrame({"component": pdf["component"], "batch": pdf["segment"] + found})
+            found.append(f"{segment}-{k}")
+        return found
 
-    fitted = small.groupBy("segment").applyInPandas(fit, f"component {dict(lines.dtypes)['component']}, batch string")
+    fitted = each_segment(small.select("segment", "component", "n"), "component", fit, "batch")
     large = lines.join(growing(extent.filter(F.col("n") > size).select("component")), "component", "left_semi").select("bank_id", "component", F.struct("component", "bank_id").alias("place"))
     numbered = global_number(large, "place", "number")  # a component may hold a third of the lines, so none is numbered alone
     start = numbered.groupBy("component").agg(F.min("number").alias("start"))
