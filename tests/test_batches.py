@@ -213,3 +213,11 @@ def test_segments_stream_through_as_many_tasks_as_shuffles_have(spark):
     seen = batches.each_segment(rows, "n", lambda own: [f"{own[0][0]}:{len(own)}:{at}:{row[2]}" for at, row in enumerate(own)], "batch")
     assert {tuple(r) for r in seen.collect()} == {(f"n{k:03d}", f"s{k % 40}:10:{k // 40}:{k}") for k in range(400)}
     assert seen.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_connected_components_are_fitted_as_they_stream(spark):
+    lines = spark.createDataFrame([(k, k - k % 2) for k in range(40)], "bank_id long, component long")
+    made = batches.connected_batches(lines, 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    assert sorted(sorted(x) for x in found(made).values()) == [[k, k + 1] for k in range(0, 40, 2)]
