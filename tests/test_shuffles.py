@@ -98,3 +98,19 @@ def test_retrieval_slots_shuffle_pieces_once_into_parts_of_bounded_size(spark, s
     assert_same(spark, fields.retrieval_slots, standins.SQL["retrieval_slots"], str(tmp_path))
     few = cut.spread(spark.range(1000).selectExpr("id % 40 as k"), "k", most=100)
     assert few.rdd.getNumPartitions() == 10 and few.distinct().count() == 40
+
+
+def test_amounts_near_to_none_are_not_shuffled(spark):
+    import datetime as dt
+
+    from tallyspark.operators import routes
+
+    day = dt.date(2024, 1, 1)
+    banks = spark.createDataFrame([(k, D(5 + k), day) for k in range(40)] + [(99, None, day)], f"bank_id long, bank_amount {MONEY}, bank_date date")
+    items = spark.createDataFrame([(f"i{k}", D(5) if k < 3 else D("7.03") if k == 3 else D(500 + k), day) for k in range(60)] + [("n", None, day)], f"item_id string, amount {MONEY}, item_date date")
+    best, alone = routes.amount_top(banks, items, 2), routes.amount_alone(banks, items)
+    assert sorted((r["bank_id"], r["item_id"], r["rank"]) for r in best.collect()) == [(0, "i0", 1), (0, "i1", 2), (2, "i3", 1)]
+    assert [(r["bank_id"], r["item_id"]) for r in alone.collect()] == [(2, "i3")]
+    for found in (best, alone):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=broadcast") >= 3  # where rows are read
