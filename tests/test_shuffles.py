@@ -114,3 +114,25 @@ def test_amounts_near_to_none_are_not_shuffled(spark):
     for found in (best, alone):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("strategy=broadcast") >= 3  # where rows are read
+
+
+def test_lines_and_items_of_one_shown_amount_make_few_pairs(spark):
+    import datetime as dt
+    import random
+
+    from tallyspark.operators import routes
+
+    rng = random.Random(4)
+    day = lambda k: [dt.date(2024, 1, 1 + k % 28)]
+    banks = [(k, rng.choice([D("12.25"), D("70.00"), None]), rng.choice(["MYR", "SGD", None]), day(k)) for k in range(30)]
+    items = [(f"i{k:02d}", rng.choice([D("12.20"), D(500), D(500), None]), rng.choice(["MYR", "rm ", None, "USD"]), day(k), rng.choice(["in/12.25/70.00.pdf", "in/12.25/12.25/a.pdf", "in/a.pdf", None])) for k in range(60)]
+    chosen = [(b[0], i[0]) for b in banks for i in items if rng.random() < 0.15]
+    b = spark.createDataFrame(banks, f"bank_id long, bank_amount {MONEY}, currency string, dates array<date>")
+    i = spark.createDataFrame(items, f"item_id string, amount {MONEY}, currency string, dates array<date>, path string")
+    got = sorted(map(tuple, routes.filename_top(b, i, spark.createDataFrame(chosen, "bank_id long, item_id string"), 3).collect()))
+    code = {"MYR": "MYR", "rm ": "MYR"}
+    want = []
+    for bank, amount, currency, dates in banks:
+        able = [x for x in items if amount is not None and x[4] and str(amount) in x[4] and (x[1] is None or abs(amount - x[1]) > D("0.05")) and (bank, x[0]) not in chosen and (currency is None or x[2] is None or code.get(currency, currency) == code.get(x[2], x[2]))]
+        want += [(bank, x[0], n, abs((dates[0] - x[3][0]).days)) for n, x in enumerate(sorted(able)[:3], 1)]
+    assert want and got == sorted(want)
